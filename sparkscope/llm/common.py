@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space that separates words, everywhere in this package: space and TAB to CR.
@@ -69,7 +70,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
         if batch.nbytes <= most_bytes:
             yield batch
             continue
-        sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.float64))
+        sizes = np.nan_to_num(np.asarray(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.float64))
         begin = 0
         total = 0.0
         for i, n in enumerate(sizes):
