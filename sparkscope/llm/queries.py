@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkscope.llm import bpe, langid, mixing, quality, token_counts
-from sparkscope.llm.common import load
+from sparkscope.llm import bpe, langid, mixing, quality, token_counts, topk, warc
+from sparkscope.llm.common import load, materialise
 
 #: Kinds of vocabulary files; a cluster names its own paths here.
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(load(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -35,12 +39,18 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(load(spark, sf_dir, "documents"), bpe.read_ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(materialise(warc.archive(load(spark, sf_dir, "pages")), "warc"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_language_id": op3_language_id,
     "op4_mixing": op4_mixing,
+    "op5_exact_topk": op5_exact_topk,
     "op6_quality_rules": op6_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_warc": op9_warc,
 }
 
 ORACLES: dict[str, str] = {}
