@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkscope.llm import bpe, langid, mixing, quality, token_counts, topk, warc
+from sparkscope.llm import bpe, langid, lm, mixing, quality, token_counts, topk, warc
 from sparkscope.llm.common import load, materialise
 
 #: Kinds of vocabulary files; a cluster names its own paths here.
@@ -43,6 +43,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(materialise(warc.archive(load(spark, sf_dir, "pages")), "warc"))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_language_id": op3_language_id,
@@ -51,6 +55,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_warc": op9_warc,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 ORACLES: dict[str, str] = {}
