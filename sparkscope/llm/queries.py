@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkscope.llm import bpe, langid, lm, mixing, quality, token_counts, topk, warc
+from sparkscope.llm import bpe, dedup, langid, lm, mixing, quality, token_counts, topk, warc
 from sparkscope.llm.common import load, materialise
 
 #: Kinds of vocabulary files; a cluster names its own paths here.
@@ -33,6 +33,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(load(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_exact_topk": op5_exact_topk,
     "op6_quality_rules": op6_quality_rules,
+    "op7_near_dedup": op7_near_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_warc": op9_warc,
     "op10_lm_scores": op10_lm_scores,
