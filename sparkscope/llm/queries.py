@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkscope.llm import bpe, dedup, langid, lm, mixing, quality, token_counts, topk, warc
+from sparkscope.llm import bpe, dedup, langid, lm, mixing, pii, quality, token_counts, topk, warc
 from sparkscope.llm.common import load, materialise
 
 #: Kinds of vocabulary files; a cluster names its own paths here.
@@ -17,6 +17,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(load(spark, sf_dir, "documents"), token_counts.read_vocabulary(public_tokenizers.path(PIECES)))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(load(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(load(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_pii": op2_pii,
     "op3_language_id": op3_language_id,
     "op4_mixing": op4_mixing,
     "op5_exact_topk": op5_exact_topk,
