@@ -58,9 +58,31 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most_epoc
     The texts are read once. Within a source, the end of the fractional repetition is found level by level over sums of
     slices of the hash, so no task ever holds a source: a source of any size contributes SLICES sums to a level.
     """
+    return _mixed(docs, weights, most_epochs, seed, id_col, text_col, source_col, []).withColumnRenamed("id", id_col)
+
+
+def mixture(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most_epochs: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: the rows of docs, each repeated as often as mix() takes it, columns as in docs.
+
+    A row that is taken in part holds its first words, single spaces between them. Rows without words are not taken.
+    """
+    columns = docs.columns
+    taken = _mixed(docs, weights, most_epochs, seed, id_col, text_col, source_col, columns).where("taken > 0")
+    copy = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))
+    text = F.col(f"k{columns.index(text_col)}")
+    words = F.col("taken") - (F.col("copy") - 1) * F.col("size")  # left for this copy
+    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)), F.lit(1), words.cast("int")), " ")
+    out = taken.withColumn("copy", copy).withColumn("part", F.when(words < F.col("size"), part).otherwise(text))
+    return out.select(*[(F.col("part") if c == text_col else F.col(f"k{i}")).alias(c) for i, c in enumerate(columns)])
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...], most_epochs: int, seed: int, id_col: str, text_col: str, source_col: str, keep: list[str]) -> DataFrame:
+    """Columns id, size, source_size, target and taken of mix(), then the columns keep of docs as k0, k1, ..."""
+    kept = [f"k{i}" for i in range(len(keep))]
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = materialise(
         docs.select(
+            *[docs[c].alias(k) for c, k in zip(keep, kept, strict=True)],
             docs[id_col].alias("id"),
             docs[source_col].cast("string").alias("source"),
             F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"),
@@ -96,11 +118,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most_epoc
     inner = attach(inner, second, "s_l1", "inner").where("l1 = c_l1")
     order = Window.partitionBy("source").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     last = inner.withColumn("left", F.col("rest") - F.col("b_l1") - F.coalesce(F.sum("size").over(order), F.lit(0)))
-    last = last.select("id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.greatest(F.lit(0), F.least("size", "left"))).alias("taken"))
+    last = last.select(*kept, "id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.greatest(F.lit(0), F.least("size", "left"))).alias("taken"))
     # every other row lies wholly before or behind the cut
     rest = attach(placed, second, "s_l1", "left")
     inside = (F.col("l0") == F.col("c_l0")) & (F.col("l1") == F.col("c_l1"))
     ahead = (F.col("l0") < F.col("c_l0")) | ((F.col("l0") == F.col("c_l0")) & (F.col("l1") < F.col("c_l1")))
     rest = rest.where(~F.coalesce(inside, F.lit(False)))
-    rest = rest.select("id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.when(F.coalesce(ahead, F.lit(False)), F.col("size")).otherwise(0)).alias("taken"))
-    return rest.unionByName(last).withColumnRenamed("id", id_col)
+    rest = rest.select(*kept, "id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.when(F.coalesce(ahead, F.lit(False)), F.col("size")).otherwise(0)).alias("taken"))
+    return rest.unionByName(last)
