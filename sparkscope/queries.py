@@ -104,7 +104,7 @@ _promql("unary_neg", "-events_total", _out(_TOT_BARE, "itot", "-v"))
 # vector matching
 _pair = f"(SELECT a.s, a.et, a.sh, a.v AS v, b.v AS w FROM itot a JOIN {_offset} b ON a.s = b.s AND a.et = b.et AND a.sh = b.sh)"
 _promql("vv_one_to_one", "events_total - events_total offset 1d", _out(_TOT_BARE, _pair, "v - w"))
-_promql("vv_compare", "events_total > 60 + events_total offset 1d", _out(_TOT, _pair, where="v > w + 60"))
+_promql("vv_compare", "events_total > events_total offset 1d", _out(_TOT, _pair, where="v > w"))
 _promql("vv_on", "sum by (event_type) (events_total) / on (event_type) sum by (event_type) (event_value)", _out(_ET, "(SELECT a.s, a.et, a.v / b.v AS v FROM sumtot a JOIN sumev b ON a.s = b.s AND a.et = b.et)"))
 _promql("vv_ignoring", 'events_total{shard="0"} / ignoring (shard) sum by (event_type) (events_total)', _out(_ET, "(SELECT a.s, a.et, a.v / b.v AS v FROM itot a JOIN sumtot b ON a.s = b.s AND a.et = b.et WHERE sh = '0')"))
 _share = "(SELECT a.s, a.et, a.sh, a.v / b.v AS v FROM itot a JOIN sumtot b ON a.s = b.s AND a.et = b.et)"
