@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -62,7 +65,7 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most most_bytes of column, or of one row, so that a worker's memory stays bounded."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -79,12 +82,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
                 begin, total = i, 0.0
             total += n
         yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()
 
 
 class Memo(dict):
     """A bounded memo of a pure function: emptied when full, so it changes speed only."""
 
-    def __init__(self, f: Callable, most: int = 300_000, longest: int = 64) -> None:
+    def __init__(self, f: Callable, most: int = 150_000, longest: int = 64) -> None:
         super().__init__()
         self.f, self.most, self.longest = f, most, longest
 
@@ -101,14 +105,26 @@ _kept: dict = {}
 
 
 def per_process(key, make: Callable):
-    """What make() returns, made once in each Python process and key."""
+    """What make() returns, made once in each Python process; only the latest key's is held.
+
+    A worker process goes from one operator's tasks to another's, so what the last one needed is given back first.
+    """
     if key not in _kept:
-        if len(_kept) > 16:
+        if _kept:
             _kept.clear()
+            give_back()
         _kept[key] = make()
     return _kept[key]
 
 
+def give_back() -> None:
+    """Return freed memory to the operating system, as far as the allocators let it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def log_binomial_cdf(k: int, n: int, p: float) -> float:
     """log P(X <= k) of X ~ Binomial(n, p), summed exactly term by term."""
     if k >= n:

@@ -78,7 +78,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _memo() -> Memo:
-    return per_process("shingle-words", lambda: Memo(xxhash.xxh3_64_intdigest, 400_000))
+    return per_process("shingle-words", lambda: Memo(xxhash.xxh3_64_intdigest, 150_000))
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:

@@ -98,7 +98,7 @@ class UnigramCounter:
         self.cut_words = not any(inner.search(t) for t, _ in pieces)
         self.cut_lines = not any("\n" in t for t, _ in pieces)
         self.line_end = complex(1, self.unknown)
-        self.words = Memo(lambda w: self._segment(MARK + w), 600_000)
+        self.words = Memo(lambda w: self._segment(MARK + w), 400_000)
         self.runs = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
     def _segment(self, s: str) -> complex:
