@@ -68,6 +68,28 @@ def _folded(op: str, a: float, b: float) -> float:
         return math.inf
 
 
+def differs_without_name(node: Node) -> bool:
+    """Whether the label sets of a node's result, at one step, are sure to differ in labels other than the name."""
+    if isinstance(node, Selector):
+        return any(m.name == L.NAME and m.op == "=" for m in node.matchers)
+    if isinstance(node, Range):
+        return differs_without_name(node.selector)
+    if isinstance(node, (Paren, Unary, Subquery)):
+        return differs_without_name(node.inner)
+    if isinstance(node, Aggregate):
+        return node.op not in ("topk", "bottomk") or differs_without_name(node.inner)
+    if isinstance(node, Binary):
+        if node.left.type() == SCALAR or node.right.type() == SCALAR:
+            return differs_without_name(node.right if node.left.type() == SCALAR else node.left)
+        return node.op not in SETS and (node.matching is None or node.matching.group == "one")
+    if isinstance(node, Call):
+        if node.name in ("label_replace", "label_join"):
+            return False
+        labelled = [a for a in node.args if a.type() != SCALAR]
+        return all(differs_without_name(a) for a in labelled)
+    return False
+
+
 class Planner:
     """Plans over samples (name, labels, ts, ts_nano, value)."""
 
@@ -140,7 +162,7 @@ class Planner:
             return self._selected(node, grid).select("step_ts", "labels", "value")
         if isinstance(node, Unary):
             inner = self.vector(node.inner, grid)
-            return inner if node.op == "+" else self._unique(instant_functions.mapped(inner, -F.col("value")))
+            return inner if node.op == "+" else self._unique(instant_functions.mapped(inner, -F.col("value")), node.inner)
         if isinstance(node, Aggregate):
             param = None
             if node.param is not None:
@@ -156,16 +178,21 @@ class Planner:
         left, right = node.left.type() == SCALAR, node.right.type() == SCALAR
         if left or right:
             scalar, vector = (node.left, node.right) if left else (node.right, node.left)
-            return binary.vector_scalar(self.vector(vector, grid), self.scalar(scalar, grid), node.op, left, node.returns_bool)
+            out = binary.vector_scalar(self.vector(vector, grid), self.scalar(scalar, grid), node.op, left, node.returns_bool)
+            return out if node.op in binary.COMPARISONS and not node.returns_bool else self._unique(out, vector)
         a, b = self.vector(node.left, grid), self.vector(node.right, grid)
         if node.op in SETS:
             return binary.set_operation(a, b, node.op, node.matching)
         out = binary.vector_vector(a, b, node.op, node.matching, node.returns_bool)
         return self._unique(out) if node.matching and node.matching.group != "one" else out
 
-    def _unique(self, vector: DataFrame) -> DataFrame:
-        """The rows; two with the same labels at a step raise an error when they are read."""
-        if not self.options.strict:
+    def _unique(self, vector: DataFrame, source: Node | None = None) -> DataFrame:
+        """The rows; two with the same labels at a step raise an error when they are read.
+
+        source: what the vector's labels come from. Where its label sets differ in more than the metric's name, as
+        those of one metric do, dropping the name makes no two equal and the check, with its shuffle, is left out.
+        """
+        if not self.options.strict or (source is not None and differs_without_name(source)):
             return vector
         rows = vector.groupBy("step_ts", "labels").agg(F.first("value").alias("v"), F.count("*").alias("n"))
         fault = F.raise_error(F.lit("vector cannot contain metrics with the same labelset")).cast("double")
@@ -228,16 +255,16 @@ class Planner:
         name, args = node.name, node.args
         v = F.col("value")
         if name.endswith("_over_time") and name not in ("absent_over_time", "quantile_over_time") or name in range_functions.LAGGED or name == "deriv":
-            return self._unique(self._over_time(name, args[0], grid, []))
+            return self._unique(self._over_time(name, args[0], grid, []), args[0])
         if name == "quantile_over_time":
-            return self._unique(self._over_time(name, args[1], grid, [self._fixed(args[0], "the quantile")]))
+            return self._unique(self._over_time(name, args[1], grid, [self._fixed(args[0], "the quantile")]), args[1])
         if name == "predict_linear":
-            return self._unique(self._over_time(name, args[0], grid, [self._fixed(args[1], "the time ahead")]))
+            return self._unique(self._over_time(name, args[0], grid, [self._fixed(args[1], "the time ahead")]), args[0])
         if name == "holt_winters":
             factors = [self._fixed(a, "a smoothing factor") for a in args[1:]]
             if not all(0 < f < 1 for f in factors):
                 raise QueryError("smoothing factors lie between 0 and 1")
-            return self._unique(self._over_time(name, args[0], grid, factors))
+            return self._unique(self._over_time(name, args[0], grid, factors), args[0])
         if name == "absent_over_time":
             inner = args[0].selector if isinstance(args[0], Range) else None
             return instant_functions.absent(self._over_time("present_over_time", args[0], grid, []), grid, inner.matchers if inner else None)
@@ -255,8 +282,8 @@ class Planner:
             while isinstance(bare, Paren):
                 bare = bare.inner
             if isinstance(bare, Selector):
-                return self._unique(instant_functions.mapped(self._selected(bare, grid), F.col("sample_ts").cast("double")))
-            return self._unique(instant_functions.mapped(self.vector(args[0], grid), F.col("step_ts").cast("double")))
+                return self._unique(instant_functions.mapped(self._selected(bare, grid), F.col("sample_ts").cast("double")), bare)
+            return self._unique(instant_functions.mapped(self.vector(args[0], grid), F.col("step_ts").cast("double")), args[0])
         if name in ("sort", "sort_desc"):
             order = v.asc() if name == "sort" else v.desc()
             return self.vector(args[0], grid).orderBy("step_ts", F.isnan(v), order, "labels")
@@ -271,11 +298,11 @@ class Planner:
         if name in ("minute", "hour", "day_of_week", "day_of_month", "day_of_year", "days_in_month", "month", "year"):
             if not args:
                 return grid.steps(self.spark).select("step_ts", L.empty().alias("labels"), instant_functions.clock(name, F.col("step_ts")).alias("value"))
-            return self._unique(instant_functions.mapped(self.vector(args[0], grid), instant_functions.clock(name, v)))
+            return self._unique(instant_functions.mapped(self.vector(args[0], grid), instant_functions.clock(name, v)), args[0])
         vector = self.vector(args[0], grid)
         if name == "round":
             to = self._fixed(args[1], "the unit to round to") if len(args) > 1 else 1.0
-            return self._unique(instant_functions.mapped(vector, instant_functions.rounded(v, to)))
+            return self._unique(instant_functions.mapped(vector, instant_functions.rounded(v, to)), args[0])
         if name.startswith("clamp"):
             bounds = [F.lit(self._fixed(a, "a bound")) for a in args[1:]]
             if name == "clamp":
@@ -283,5 +310,5 @@ class Planner:
                 if low > high:
                     return vector.where(F.lit(False)).select("step_ts", "labels", "value")
             low, high = bounds if name == "clamp" else (bounds[0], None) if name == "clamp_min" else (None, bounds[0])
-            return self._unique(instant_functions.mapped(vector, instant_functions.clamped(v, low, high)))
-        return self._unique(instant_functions.mapped(vector, instant_functions.MATHS[name](v)))
+            return self._unique(instant_functions.mapped(vector, instant_functions.clamped(v, low, high)), args[0])
+        return self._unique(instant_functions.mapped(vector, instant_functions.MATHS[name](v)), args[0])

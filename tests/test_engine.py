@@ -83,6 +83,15 @@ def test_matching_errors(data):
         instant(data, 'label_replace(http_requests, "instance", "", "", "") * 1 or abs(label_replace(http_requests, "instance", "", "job", ".*"))')
 
 
+def test_names_that_were_all_that_differed(spark):
+    data = telemetry(spark, [({"__name__": n, "a": "x"}, [(0, 1.0)]) for n in ("m1", "m2")])
+    for query in ('{a="x"} * 2', 'abs({a="x"})', '-{a="x"}', 'sum_over_time({a="x"}[1m])'):
+        with pytest.raises(Exception, match="same labelset"):
+            instant(data, query, 0)
+        assert len(api.query_instant(data, query, 0, Options(strict=False)).collect()) == 2
+    assert len(instant(data, '{a="x"} > 0', 0)) == 2 and len(instant(data, "abs(m1) or abs(m2)", 0)) == 1
+
+
 def test_group_labels(data):
     found = instant(data, 'http_requests{group="canary"} * on (job) group_left (tier) label_replace(sum by (job) (http_requests), "tier", "$1", "job", "(a..).*")')
     assert found[key(group="canary", instance="0", job="api-server", tier="api")] == 300 * 1000 and len(found) == 4
