@@ -102,7 +102,6 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
 
     Rows without a language, text or letter teach nothing. None if nothing is left.
     """
-    spark = docs.sparkSession
     labelled = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull())
     sizes = labelled.groupBy(labelled[lang_col].alias("l")).count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()
     if not sizes:
@@ -121,7 +120,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
 
     drawn_rows = sample.mapInArrow(run, "l string, x binary, u double")
     most = 2 * SAMPLE_PER_LANGUAGE * len(sizes)
-    rows = drawn_rows.orderBy("u", "l", "x").limit(most).toArrow() if spark is not None else None
+    rows = drawn_rows.orderBy("u", "l", "x").limit(most).toArrow()
     languages = sorted({x for x in rows.column("l").to_pylist()})
     if not languages:
         return None
