@@ -105,10 +105,6 @@ def _metrics(messages: DataFrame) -> DataFrame:
     return rows.select(F.col("resource.attributes").alias("shared"), "m", metric_name(F.col("m.name"), F.col("m.unit")).alias("base"))
 
 
-def _points(rows: DataFrame, kind: str) -> DataFrame:
-    return rows.select("shared", "base", F.col("m.description").alias("description"), F.col("m.unit").alias("unit"), F.explode(f"m.{kind}.dataPoints").alias("p"))
-
-
 def _running(counts: Column) -> Column:
     """Running sums of an array."""
     return F.transform(counts, lambda _, i: F.aggregate(F.slice(counts, F.lit(1), i + 1), F.lit(0.0), lambda a, x: a + x))
@@ -118,54 +114,83 @@ def _numbers(column: Column) -> Column:
     return F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda x: x.cast("double"))
 
 
-def _flat(rows: DataFrame, kind: str, entries: Column) -> DataFrame:
-    """Rows of points with several values: entries is an array of (suffix, label, text, value)."""
-    out = rows.withColumn("e", F.explode(entries)).withColumn("name", F.concat("base", F.col("e.suffix")))
-    labels = label_set(F.col("shared"), F.col("p.attributes"))
-    extra = F.when(F.col("e.label") == "", labels).when(F.col("e.label") == "le", L.put(labels, "le", F.col("e.text"))).otherwise(L.put(labels, "quantile", F.col("e.text")))
-    return out.select("name", F.lit(kind).alias("type"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce("unit", F.lit("")).alias("unit"), L.put(extra, L.NAME, F.col("name")).alias("labels"), F.col("e.value").cast("double").alias("value"), F.col("p.timeUnixNano").cast("bigint").alias("ts_nano"))
+_ENTRY = "struct<suffix:string,label:string,text:string,value:double>"
 
 
 def _entry(suffix: str, value: Column, label: str = "", text: Column | None = None) -> Column:
     return F.struct(F.lit(suffix).alias("suffix"), F.lit(label).alias("label"), (F.lit("") if text is None else text).alias("text"), value.cast("double").alias("value"))
 
 
-def points(messages: DataFrame) -> DataFrame:
-    """(name, type, description, unit, labels, value, ts_nano) of every point of a frame of METRICS_SCHEMA rows.
+def _number(p: Column) -> Column:
+    return F.coalesce(p["asDouble"], p["asInt"].cast("double"))
 
-    Sums end in _total. Histograms give _sum, _count and cumulative _bucket rows; exponential ones order their buckets
-    from the most negative over zero to the most positive; summaries give _quantile rows.
-    """
-    rows = _metrics(messages)
-    number = F.coalesce(F.col("p.asDouble"), F.col("p.asInt").cast("double"))
-    gauge = _flat(_points(rows, "gauge"), "Gauge", F.array(_entry("", number)))
-    total = _flat(_points(rows, "sum"), "Sum", F.array(_entry("_total", number)))
-    both = [_entry("_sum", F.col("p.sum")), _entry("_count", F.col("p.count"))]
-    running = _running(_numbers(F.col("p.bucketCounts")))
-    bounds = F.coalesce(F.col("p.explicitBounds"), F.array().cast("array<double>"))
-    buckets = F.transform(running, lambda c, i: _entry("_bucket", c, "le", F.coalesce(double_text(F.get(bounds, i)), F.lit("+Inf"))))
-    histogram = _flat(_points(rows, "histogram"), "Histogram", F.concat(F.array(*both), buckets))
-    base = F.pow(F.lit(2.0), F.pow(F.lit(2.0), -F.col("p.scale").cast("double")))
+
+def _sum_and_count(p: Column) -> Column:
+    return F.array(_entry("_sum", p["sum"]), _entry("_count", p["count"]))
+
+
+def _histogram(p: Column) -> Column:
+    bounds = F.coalesce(p["explicitBounds"], F.array().cast("array<double>"))
+    buckets = F.transform(_running(_numbers(p["bucketCounts"])), lambda c, i: _entry("_bucket", c, "le", F.coalesce(double_text(F.get(bounds, i)), F.lit("+Inf"))))
+    return F.concat(_sum_and_count(p), buckets)
+
+
+def _exponential(p: Column) -> Column:
+    base = F.pow(F.lit(2.0), F.pow(F.lit(2.0), -p["scale"].cast("double")))
 
     def side(name: str) -> tuple[Column, Column]:
-        return _numbers(F.col(f"p.{name}.bucketCounts")), F.coalesce(F.col(f"p.{name}.offset"), F.lit(0))
+        return _numbers(p[name]["bucketCounts"]), F.coalesce(p[name]["offset"], F.lit(0))
 
     (low, low_at), (high, high_at) = side("negative"), side("positive")
     pair = lambda bound, c: F.struct(bound.alias("b"), c.alias("c"))
     # bucket i holds (base^(offset+i), base^(offset+i+1)]; below zero the upper bound is the smaller magnitude
     negative = F.reverse(F.transform(low, lambda c, i: pair(-F.pow(base, (low_at + i).cast("double")), c)))
-    zero = F.when(F.col("p.zeroCount").cast("double") > 0, F.array(pair(F.lit(0.0), F.col("p.zeroCount").cast("double")))).otherwise(F.array().cast("array<struct<b:double,c:double>>"))
+    zero = F.when(p["zeroCount"].cast("double") > 0, F.array(pair(F.lit(0.0), p["zeroCount"].cast("double")))).otherwise(F.array().cast("array<struct<b:double,c:double>>"))
     positive = F.transform(high, lambda c, i: pair(F.pow(base, (high_at + i + 1).cast("double")), c))
     finite = F.concat(negative, zero, positive)
-    sums = F.transform(finite, lambda x, i: F.struct(x["b"].alias("b"), F.aggregate(F.slice(finite, F.lit(1), i + 1), F.lit(0.0), lambda a, y: a + y["c"]).alias("c")))
+    running = _running(F.transform(finite, lambda x: x["c"]))
     # the last positive bucket is +Inf; without one, +Inf repeats the whole count
-    last_open = F.size(positive) > 0
-    named = F.transform(sums, lambda x, i: _entry("_bucket", x["c"], "le", F.when(last_open & (i == F.size(sums) - 1), F.lit("+Inf")).otherwise(double_text(x["b"]))))
-    rest = F.when(last_open, F.array().cast("array<struct<suffix:string,label:string,text:string,value:double>>")).otherwise(F.array(_entry("_bucket", F.col("p.count"), "le", F.lit("+Inf"))))
-    exponential = _flat(_points(rows, "exponentialHistogram"), "ExponentialHistogram", F.concat(F.array(*both), named, rest))
-    quantiles = F.transform(F.coalesce(F.col("p.quantileValues"), F.array().cast("array<struct<quantile:double,value:double>>")), lambda q: _entry("_quantile", q["value"], "quantile", double_text(q["quantile"])))
-    summary = _flat(_points(rows, "summary"), "Summary", F.concat(F.array(*both), quantiles))
-    return gauge.unionByName(total).unionByName(histogram).unionByName(exponential).unionByName(summary)
+    last_open, n = F.size(high) > 0, F.size(low) + F.size(high) + F.size(zero)
+    named = F.transform(F.arrays_zip(finite.alias("f"), running.alias("c")), lambda x, i: _entry("_bucket", x["c"], "le", F.when(last_open & (i == n - 1), F.lit("+Inf")).otherwise(double_text(x["f"]["b"]))))
+    rest = F.when(last_open, F.array().cast(f"array<{_ENTRY}>")).otherwise(F.array(_entry("_bucket", p["count"], "le", F.lit("+Inf"))))
+    return F.concat(_sum_and_count(p), named, rest)
+
+
+def _summary(p: Column) -> Column:
+    values = F.coalesce(p["quantileValues"], F.array().cast("array<struct<quantile:double,value:double>>"))
+    return F.concat(_sum_and_count(p), F.transform(values, lambda q: _entry("_quantile", q["value"], "quantile", double_text(q["quantile"]))))
+
+
+#: Field of a metric, its type, and the entries of one of its points.
+KINDS = {
+    "gauge": ("Gauge", lambda p: F.array(_entry("", _number(p)))),
+    "sum": ("Sum", lambda p: F.array(_entry("_total", _number(p)))),
+    "histogram": ("Histogram", _histogram),
+    "exponentialHistogram": ("ExponentialHistogram", _exponential),
+    "summary": ("Summary", _summary),
+}
+
+
+def points(messages: DataFrame) -> DataFrame:
+    """(name, type, description, unit, labels, value, ts_nano) of every point of a frame of METRICS_SCHEMA rows.
+
+    Sums end in _total. Histograms give _sum, _count and cumulative _bucket rows; exponential ones order their buckets
+    from the most negative over zero to the most positive; summaries give _quantile rows. One pass over the messages.
+    """
+    none = F.array().cast(f"array<struct<attributes:{_ATTRIBUTES},nano:string,type:string,entries:array<{_ENTRY}>>>")
+
+    def of(field: str, kind: str, entries) -> Column:
+        each = lambda p: F.struct(p["attributes"].alias("attributes"), p["timeUnixNano"].alias("nano"), F.lit(kind).alias("type"), entries(p).alias("entries"))
+        return F.coalesce(F.transform(F.col(f"m.{field}.dataPoints"), each), none)
+
+    rows = _metrics(messages).withColumn("p", F.explode(F.concat(*[of(k, *v) for k, v in KINDS.items()])))
+    rows = rows.select("base", "m.description", "m.unit", "p.type", F.col("p.nano").cast("bigint").alias("ts_nano"), "p.entries", label_set(F.col("shared"), F.col("p.attributes")).alias("own"))
+    rows = rows.withColumn("e", F.explode("entries")).withColumn("name", F.concat("base", "e.suffix"))
+    # labels that the point itself brings: its name, and the bound or the quantile
+    given = F.array(F.struct(F.lit(L.NAME).alias("name"), F.col("name").alias("value")), F.struct(F.col("e.label").alias("name"), F.col("e.text").alias("value")))
+    rest = F.filter("own", lambda x: ~x["name"].isin(L.NAME) & (x["name"] != F.col("e.label")))
+    labels = F.array_sort(F.concat(rest, F.filter(given, lambda x: x["name"] != "")))
+    return rows.select("name", "type", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("unit", F.lit("")).alias("unit"), labels.alias("labels"), F.col("e.value").alias("value"), "ts_nano")
 
 
 def metric_metadata(messages: DataFrame) -> DataFrame:
@@ -174,7 +199,8 @@ def metric_metadata(messages: DataFrame) -> DataFrame:
     A sum's metadata has its name without _total. Counts have the unit 1.
     """
     rows = _metrics(messages)
-    kinds = [("gauge", "Gauge", [""]), ("sum", "Sum", [""]), ("histogram", "Histogram", ["_sum", "_count", "_bucket"]), ("exponentialHistogram", "ExponentialHistogram", ["_sum", "_count", "_bucket"]), ("summary", "Summary", ["_sum", "_count", "_quantile"])]
+    parts = {"Gauge": [""], "Sum": [""], "Summary": ["_sum", "_count", "_quantile"]}
+    kinds = [(field, kind, parts.get(kind, ["_sum", "_count", "_bucket"])) for field, (kind, _) in KINDS.items()]
     none = "array<struct<suffix:string,type:string,unit:string>>"
     entries = F.array().cast(none)
     for kind, name, suffixes in kinds:
