@@ -126,8 +126,10 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
             out[i, : len(v)] = v
         return out
 
-    # a bounded pilot, the same for all: candidates with the smallest hashes give each query a first kth score
-    pilot_rows = rows.orderBy(F.xxhash64("id", F.lit(5)), "id", "v").limit(PILOT_ROWS).toArrow()
+    # a bounded pilot, the same for all: any candidates give each query a kth score to start from. They are drawn by
+    # their hash; ordering all rows by it would send every partition's first rows to one task
+    drawn = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, PILOT_ROWS / max(1, total))))
+    pilot_rows = rows.where(drawn).limit(4 * PILOT_ROWS).toArrow()
     pilot = (matrix(pilot_rows.column("v")), np.array(pilot_rows.column("id").to_pylist(), np.int64)) if total else (np.zeros((0, 0)), np.zeros(0, np.int64))
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
