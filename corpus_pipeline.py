@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkscope.llm import bpe, dedup, langid, mixing, pii
-from sparkscope.llm.common import load, materialise
+from sparkscope.llm.common import bounded_batches, load, materialise
 from sparkscope.llm.queries import RANKS
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told: those without a letter go, and those whose two best languages are level."""
+    bounded_batches(spark)
     columns = docs.columns
     # the kept columns have positions for names, so none can clash with the prediction's
     named = docs.toDF(*[f"own{i}" for i in range(len(columns))])
@@ -30,6 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document without an id stays. Rows with the same id are one document; equal ones become one row.
     """
+    bounded_batches(spark)
     found = dedup.near_duplicates(docs, width=5, percent=80)
     gone = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     gone = materialise(gone.where("not kept or n > 1"), "gone")
@@ -54,6 +56,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of tokens, digest of the ids and digest of the decoded bytes of every document of the mix."""
+    bounded_batches(spark)
     import public_tokenizers
 
     return bpe.encode_digests(docs, bpe.read_ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)

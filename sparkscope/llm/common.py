@@ -19,7 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch on its way to or from a Python worker, where the session names no other bound.
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes too: ten thousand long texts in one batch would fill buffers on both sides."""
+    if not spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
