@@ -280,6 +280,24 @@ def test_fit_is_normalised_and_learns():
     assert np.isneginf(table[:, :, lm.BEGIN_UNIT]).all()
 
 
+def test_context_tells_between_words_outside_the_most_frequent(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(f"a{k} b{k}" for k in (r.randrange(150) for _ in range(20)))) for i in range(1500)]
+    right, wrong = " ".join(f"a{k} b{k}" for k in range(150)), " ".join(f"a{k} b{(k + 75) % 150}" for k in range(150))
+    ids = [i for i in range(10**6, 10**6 + 100) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    found = {x["doc_id"]: x["score"] for x in lm.score(spark.createDataFrame([*rows, (ids[0], right), (ids[1], wrong)], "doc_id long, text string")).collect()}
+    assert found[ids[0]] - found[ids[1]] > 150 * 0.7
+
+
+def test_training_takes_every_counted_triple(monkeypatch):
+    units, n = 200, np.arange(1_500_000) % 9 + 1
+    seen = np.zeros(len(n))
+    step = lambda self, u, v, w, weight, *_: np.add.at(seen, (u * units + v) * units + w, weight)
+    monkeypatch.setattr(lm.Model, "_step", step)
+    lm.Model(np.ones(units)).train(np.arange(len(n)), n, 1)
+    assert np.allclose(seen, n, rtol=1e-5)
+
+
 def test_pipeline(spark):
     pytest.importorskip("corpus_pipeline")
     import os
