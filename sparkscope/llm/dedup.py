@@ -7,8 +7,9 @@
    crowded region spreads over partitions. A row's candidates are its neighbours in the order, those with the longest
    common prefix: at least `depth` values where a region is sparse, and as many more as its crowd makes common.
 3. Candidates whose signatures agree well enough are joined to tentative components (alternating stars).
-4. A tentative component whose sets fit one task is searched exactly, all its pairs, by an inverted index. A larger one is
-   confirmed pair by pair: first each row's best candidates, then every candidate that still crosses components.
+4. A tentative component whose sets fit one task is searched exactly, all its pairs, by an inverted index. In a larger one
+   each row's best candidate is confirmed; then every pair that still crosses components and shares a shingle of both
+   prefixes (rarest first) is compared, wherever the trees put its ends.
 5. Confirmed links give the components; every member of a class has that of its representative.
 """
 
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkscope.llm.common import Memo, materialise, per_process, raw_texts, slices
@@ -35,6 +36,8 @@ WINDOW, BEST = 32, 8
 SLACK = 0.18
 #: Members times shingles of a tentative component that one task searches, and its shingles.
 TASK_WORK, TASK_SHINGLES = 4_000_000_000, 4_000_000
+#: Sets of one salt of a shingle's list, on average.
+MOST_LISTED = 1000
 #: Ids up to so many (8 bytes each) are broadcast to pick texts; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -258,18 +261,44 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _crossing(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every pair of sets of different groups (id, component) that may be similar enough, by a prefix filter.
+
+    Two sets that are similar enough share one of the first n - ceil(n * percent / 100) + 1 shingles of each, all sets in
+    one order, here the rarest first. Long lists of a shingle's sets are salted, none is cut.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in zip(batch.column("id").to_pylist(), batch.column("s").to_pylist(), strict=True):
+                h = np.frombuffer(x, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(np.full(len(h), len(h))), pa.array(h)], ["id", "n", "h"])
+
+    flat = materialise(sets.select("id", "s").mapInArrow(run, "id long, n long, h long"), "shingles")
+    common = flat.groupBy("h").agg(F.count("*").alias("c"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("c", "h"))
+    least = F.expr(f"({percent} * n + 99) div 100")
+    first = flat.join(common, "h").withColumn("place", place).where(F.col("place") <= F.col("n") - least + 1)
+    first = materialise(first.where("c > 1").join(groups, "id", "left").select("id", "n", "h", "c", F.coalesce("component", "id").alias("g")), "prefixes")
+    salts = F.ceil(F.col("c") / MOST_LISTED).cast("long")
+    left = first.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"), "h", F.pmod(F.xxhash64("id"), salts).alias("salt"))
+    right = first.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"), "h", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    likely = (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return left.join(right, ["h", "salt"]).where(likely).select("a", "b").distinct()
+
+
 def _large_components(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(id, component) from pairs (a, b, agreement) of components that no task searches whole."""
+    """(id, component) of the sets (id, s), all of components that no task searches whole.
+
+    pairs (a, b, agreement) only save work: sets that their best ones already join need no comparing.
+    """
     pairs = materialise(pairs.groupBy("a", "b").agg(F.max("agreement").alias("agreement")), "pairs")
+    sets = sets.dropDuplicates(["id"])  # a repeated row's set may come twice
     ends = pairs.select(F.col("a").alias("x"), F.struct("agreement", F.col("b").alias("y")).alias("p")).unionByName(pairs.select(F.col("b").alias("x"), F.struct("agreement", F.col("a").alias("y")).alias("p")))
     best = ends.groupBy("x").agg(F.max("p").alias("p")).select(F.least("x", "p.y").alias("a"), F.greatest("x", "p.y").alias("b")).distinct()
     links = materialise(_confirmed(best, sets, percent), "confirmed")
-    first = components(links)
-    of = lambda end: F.coalesce(F.col(f"c{end}"), F.col(end))
-    left, right = first.select(F.col("id").alias("a"), F.col("component").alias("ca")), first.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    crossing = pairs.join(left, "a", "left").join(right, "b", "left").where(of("a") != of("b")).select("a", "b")
-    crossing = crossing.join(best, ["a", "b"], "left_anti")
-    return components(links.unionByName(_confirmed(crossing, sets, percent)))
+    first = materialise(components(links), "first")
+    return components(links.unionByName(_confirmed(_crossing(sets, first, percent), sets, percent)))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", task_work: int = TASK_WORK, task_shingles: int = TASK_SHINGLES) -> DataFrame:
@@ -297,7 +326,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     large = places.where(~F.col("fits"))
     if large.limit(1).count():
         inside = near.where("agreement <= 1").join(large.select(F.col("id").alias("a")), "a")
-        found = found.unionByName(_large_components(inside, sets, percent))
+        found = found.unionByName(_large_components(inside, sets.join(large.select("id"), "id", "left_semi"), percent))
     found = materialise(found.distinct(), "components")
     named = reps.select("id", "doc", "digest").join(found, "id", "left").select("doc", "digest", F.coalesce("component", "id").alias("group"))
     least = named.groupBy("group").agg(F.min("doc").alias("component"))

@@ -140,6 +140,14 @@ def test_near_duplicates_of_odd_rows(spark):
     assert dedup.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_large_components_need_no_candidates(spark):
+    sets = {i: np.arange(2 * i, 2 * i + 40, dtype=np.uint64) for i in range(1, 6)} | {9: np.arange(500, 540, dtype=np.uint64)}
+    rows = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in [*sets.items(), (3, sets[3])]], "id long, s binary")
+    pairs = spark.createDataFrame([(1, 2, 0.9), (3, 4, 0.9), (5, 9, 0.7)], "a long, b long, agreement double")
+    found = {r["id"]: r["component"] for r in dedup._large_components(pairs, rows, 80).collect()}
+    assert found == {i: 1 for i in range(1, 6)}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(50, 90)] + [(3, 1), (2, 3), (1, 1)]
     found = {r["id"]: r["component"] for r in dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
