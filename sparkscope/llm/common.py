@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,9 +36,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where it is unset, a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and the master is local, as in
+    tests, a temporary one; on a cluster that would be a folder of one machine, so it raises an error there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparkscope-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -7,15 +7,17 @@ repetitions and one fractional repetition: the documents in a seeded order, up t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkscope.llm.common import WORD_PATTERN, materialise
 
 #: Sources up to this many are broadcast with their targets; more are joined by a shuffle.
 MOST_BROADCAST = 50_000
-#: Slices of a source at each level of the search for the place where the fractional repetition ends.
-SLICES = 256
+#: Bits of the hash that are dropped at each level of the search for the place where the fractional repetition ends: two
+#: levels look at 4096 slices of a source each, the last one at the hashes themselves.
+LEVELS = (52, 40, 0)
+_GOAL = "source string, source_size long, target double, whole long, part long"
 
 
 def water_fill(sizes: list[int], weights: list[float], most_epochs: float, total: int | None = None) -> list[float]:
@@ -38,25 +40,25 @@ def water_fill(sizes: list[int], weights: list[float], most_epochs: float, total
     return targets
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...], most_epochs: float) -> DataFrame:
-    """(source, source_size, target) with one row for each source, null last; weights repeat in code-point order.
+def source_goals(sizes: DataFrame, weights: tuple[float, ...], most_epochs: float) -> list[tuple]:
+    """(source, source_size, target, whole repetitions, words of the fractional one), null last; weights repeat in code-point order.
 
     The number of sources is what reaches the driver.
     """
-    rows = sizes.orderBy(F.col("source").asc_nulls_last()).collect()
-    targets = water_fill([r["source_size"] for r in rows], [weights[i % len(weights)] for i in range(len(rows))], most_epochs)
-    return sizes.sparkSession.createDataFrame([(r["source"], r["source_size"], t) for r, t in zip(rows, targets, strict=True)], "source string, source_size long, target double")
+    rows = [tuple(r) for r in sizes.orderBy(F.col("source").asc_nulls_last()).collect()]
+    targets = water_fill([n for _, n in rows], [weights[i % len(weights)] for i in range(len(rows))], most_epochs)
+    return [(s, n, t, *(divmod(round(t), n) if n else (0, 0))) for (s, n), t in zip(rows, targets, strict=True)]
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most_epochs: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, size, source_size, target, taken) of every row of docs: the words that the mix takes of it, repeats counted.
 
     size: words of the text, 0 if it is null or empty; such a row takes nothing. A null source is a source. A source's
-    taken words sum up to its target, rounded. Within a source rows follow the hash of the id and the seed; equal ids
-    follow their size, and rows equal in both share what they take in an order that cannot show. Reruns agree.
+    taken words sum up to its target, rounded. Within a source rows follow the hash of id, text and seed; rows equal in
+    both share what they take in an order that cannot show. Reruns agree.
 
     The texts are read once. Within a source, the end of the fractional repetition is found level by level over sums of
-    slices of the hash, so no task ever holds a source: a source of any size contributes SLICES sums to a level.
+    slices of the hash, so no task ever holds a source: a source of any size contributes few sums to a level.
     """
     return _mixed(docs, weights, most_epochs, seed, id_col, text_col, source_col, []).withColumnRenamed("id", id_col)
 
@@ -64,7 +66,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most_epoc
 def mixture(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most_epochs: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: the rows of docs, each repeated as often as mix() takes it, columns as in docs.
 
-    A row that is taken in part holds its first words, single spaces between them. Rows without words are not taken.
+    A row that is taken in part holds its first words, single spaces between them. Rows without words are not taken. The
+    texts are read twice and neither shuffled nor copied between.
     """
     columns = docs.columns
     taken = _mixed(docs, weights, most_epochs, seed, id_col, text_col, source_col, columns).where("taken > 0")
@@ -76,53 +79,66 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most_
     return out.select(*[(F.col("part") if c == text_col else F.col(f"k{i}")).alias(c) for i, c in enumerate(columns)])
 
 
+def _attached(rows: DataFrame, small: list[tuple], schema: str) -> DataFrame:
+    """rows with the other columns of a table of sources, by source; rows of other sources are dropped."""
+    other = rows.sparkSession.createDataFrame(small, schema).withColumnRenamed("source", "of_source")
+    if len(small) <= MOST_BROADCAST:
+        other = F.broadcast(other)
+    return rows.join(other, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
+
+
+def _edges(rows: DataFrame, goals: list[tuple]) -> list[tuple]:
+    """(source, edge, left, rows): of each source the hash in whose rows the fractional repetition ends, the words that are
+    left for those rows, and their number. A source without a fractional repetition has none."""
+    found, above = [(s, 0, part, 0) for s, _, _, _, part in goals if part], None
+    for shift in LEVELS:
+        inside = _attached(rows, found, "source string, edge long, left long, rows long")
+        if above is not None:
+            inside = inside.where(F.shiftright("h", above) == F.col("edge"))
+        sums = inside.groupBy("source", F.shiftright("h", shift).alias("slice")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"), F.first("left").alias("left"))
+        before = F.sum("n").over(Window.partitionBy("source").orderBy("slice")) - F.col("n")
+        sums = sums.withColumn("before", before).where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("n") > F.col("left")))
+        found, above = [tuple(r) for r in sums.select("source", "slice", F.col("left") - F.col("before"), "rows").collect()], shift
+    return found
+
+
+def _ranked(ties: DataFrame) -> DataFrame:
+    """ties with rank, a number from 0 in each source: rows are numbered in each of their partitions, then partitions are added up."""
+    ties = materialise(ties.withColumn("u", F.monotonically_increasing_id()).withColumn("partition", F.shiftright("u", 33)), "mix-ties")
+    sizes = ties.groupBy("source", "partition").agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("source").orderBy("partition")) - F.col("n")
+    sizes = sizes.select(F.col("source").alias("of_source"), F.col("partition").alias("of_partition"), ahead.alias("ahead"))
+    own = F.row_number().over(Window.partitionBy("source", "partition").orderBy("u")) - 1
+    placed = ties.withColumn("own", own).join(sizes, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("partition") == F.col("of_partition")))
+    return placed.withColumn("rank", F.col("own") + F.col("ahead"))
+
+
 def _mixed(docs: DataFrame, weights: tuple[float, ...], most_epochs: int, seed: int, id_col: str, text_col: str, source_col: str, keep: list[str]) -> DataFrame:
     """Columns id, size, source_size, target and taken of mix(), then the columns keep of docs as k0, k1, ..."""
     kept = [f"k{i}" for i in range(len(keep))]
     text = F.coalesce(docs[text_col], F.lit(""))
-    rows = materialise(
-        docs.select(
-            *[docs[c].alias(k) for c, k in zip(keep, kept, strict=True)],
-            docs[id_col].alias("id"),
-            docs[source_col].cast("string").alias("source"),
-            F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"),
-            F.xxhash64(F.coalesce(docs[id_col].cast("string"), F.lit("\x00")), F.lit(seed)).alias("h"),
-        ),
-        "mix",
+    computed = docs.select(
+        *[docs[c].alias(k) for c, k in zip(keep, kept, strict=True)],
+        docs[id_col].alias("id"),
+        docs[source_col].cast("string").alias("source"),
+        F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"),
+        F.xxhash64(F.coalesce(docs[id_col].cast("string"), F.lit("\x00")), text, F.lit(seed)).alias("h"),
     )
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = source_targets(sizes, weights, most_epochs)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long")
-    goal = goal.withColumn("whole", whole).withColumn("part", F.round("target").cast("long") - F.col("whole") * F.col("source_size"))
-    few = goal.count() <= MOST_BROADCAST
-    small = F.broadcast if few else (lambda x: x)
-    level = lambda k: F.pmod(F.shiftrightunsigned("h", 8 * k), F.lit(SLICES)).cast("int")
-    rows = rows.withColumns({"l0": level(0), "l1": level(1)})
-
-    def attach(df: DataFrame, other: DataFrame, key: str, how: str) -> DataFrame:
-        """df with other's columns by source; other's key column has a name of its own."""
-        return df.join(small(other), F.col("source").eqNullSafe(F.col(key)), how).drop(key)
-
-    def cut(inside: DataFrame, key: str, part: str) -> DataFrame:
-        """Of each source the slice in which its running sum passes part, and the words taken before it."""
-        sums = inside.groupBy("source", key).agg(F.sum("size").alias("n"), F.first(part).alias("goal"))
-        before = F.sum("n").over(Window.partitionBy("source").orderBy(key)) - F.col("n")
-        found = sums.withColumn("before", before).where((F.col("before") <= F.col("goal")) & (F.col("before") + F.col("n") > F.col("goal")))
-        return materialise(found.select(F.col("source").alias("s_" + key), F.col(key).alias("c_" + key), F.col("before").alias("b_" + key)), "mix-" + key)
-
-    placed = attach(rows, goal.withColumnRenamed("source", "s_goal"), "s_goal", "left")
-    first = cut(placed, "l0", "part")
-    placed = attach(placed, first, "s_l0", "left")
-    inner = placed.where("l0 = c_l0").withColumn("rest", F.col("part") - F.col("b_l0"))
-    second = cut(inner, "l1", "rest")
-    inner = attach(inner, second, "s_l1", "inner").where("l1 = c_l1")
-    order = Window.partitionBy("source").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    last = inner.withColumn("left", F.col("rest") - F.col("b_l1") - F.coalesce(F.sum("size").over(order), F.lit(0)))
-    last = last.select(*kept, "id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.greatest(F.lit(0), F.least("size", "left"))).alias("taken"))
-    # every other row lies wholly before or behind the cut
-    rest = attach(placed, second, "s_l1", "left")
-    inside = (F.col("l0") == F.col("c_l0")) & (F.col("l1") == F.col("c_l1"))
-    ahead = (F.col("l0") < F.col("c_l0")) | ((F.col("l0") == F.col("c_l0")) & (F.col("l1") < F.col("c_l1")))
-    rest = rest.where(~F.coalesce(inside, F.lit(False)))
-    rest = rest.select(*kept, "id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.when(F.coalesce(ahead, F.lit(False)), F.col("size")).otherwise(0)).alias("taken"))
-    return rest.unionByName(last)
+    narrow = materialise(computed.select("id", "source", "size", "h"), "mix")
+    goals = source_goals(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_epochs)
+    edges = {s: (e, left, n) for s, e, left, n in _edges(narrow, goals)}
+    schema = _GOAL + ", edge long, left long, tied boolean"
+    table = [(*g, *(edges[g[0]][:2] if g[0] in edges else (None, 0)), g[0] in edges and edges[g[0]][2] > 1) for g in goals]
+    rows = _attached(computed if keep else narrow, table, schema)
+    out = [*kept, "id", "size", "source_size", "target"]
+    whole = F.col("whole") * F.col("size")
+
+    def taken(left: Column) -> Column:
+        inside = F.greatest(F.lit(0), F.least("size", left))
+        return (whole + F.when(F.col("h") < F.col("edge"), F.col("size")).when(F.col("h") == F.col("edge"), inside).otherwise(0)).cast("long").alias("taken")
+
+    if not any(x[-1] for x in table):
+        return rows.select(*out, taken(F.col("left")))
+    tied = F.coalesce(F.col("tied") & (F.col("h") == F.col("edge")), F.lit(False))
+    alone = rows.where(~tied).select(*out, taken(F.col("left")))
+    return alone.unionByName(_ranked(rows.where(tied)).select(*out, taken(F.col("left") - F.col("rank") * F.col("size"))))

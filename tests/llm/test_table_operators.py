@@ -328,3 +328,16 @@ def test_pipeline(spark):
     mixed = p.mixed_sources(spark, clean, sf)
     assert mixed.columns == docs.columns
     assert p.byte_bpe(spark, mixed, sf).count() == mixed.count()
+
+
+def test_mix_of_one_repeated_row(spark):
+    rows = [(None, "a b c", "s0")] * 400 + [(1, "x " * 500, "s1"), (2, "y " * 700, "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    found = mixing.mix(docs)
+    mine = collections.Counter(r["taken"] for r in found.where("doc_id IS NULL").collect())
+    target = found.where("doc_id IS NULL").first()["target"]
+    assert sum(k * n for k, n in mine.items()) == round(target) and len(mine) <= 3
+    assert mine == collections.Counter(r["taken"] for r in mixing.mix(docs.repartition(2)).where("doc_id IS NULL").collect())
+    assert sum(len(r["text"].split()) for r in mixing.mixture(docs).where("doc_id IS NULL").collect()) == round(target)
+    by_text = spark.createDataFrame([(None, f"w{i}", "s0") for i in range(5000)] + [(1, "x " * 9000, "s1")], "doc_id long, text string, source string")
+    assert mixing.mix(by_text).where("doc_id IS NULL").agg({"taken": "sum"}).first()[0] in (round(14000 * 5 / 7), 3 * 5000)
