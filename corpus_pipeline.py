@@ -10,18 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkscope.llm import bpe, dedup, langid, mixing, pii
-from sparkscope.llm.common import bounded_batches, load, materialise
+from sparkscope.llm.common import bounded_batches, load, materialise, release
 from sparkscope.llm.queries import RANKS
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told: those without a letter go, and those whose two best languages are level."""
+    """Documents whose language is told: those without a letter go, null texts too, and those whose two best languages are level.
+
+    Where no document has a language to learn from, all with a letter stay. Rows are judged one by one, repeated ones too.
+    """
     bounded_batches(spark)
     columns = docs.columns
     # the kept columns have positions for names, so none can clash with the prediction's
     named = docs.toDF(*[f"own{i}" for i in range(len(columns))])
     own = {c: f"own{i}" for i, c in enumerate(columns)}
     model = langid.learn(named, own["lang"], own["doc_id"], own["text"])
+    if model is None:
+        return docs.where(F.coalesce(docs["text"], F.lit("")).rlike(r"\p{L}"))
     found = langid.predict(named, model, list(own.values()), own["text"], ambiguous_below=0.02)
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & ~F.col("ambiguous")).select(*[F.col(k).alias(c) for c, k in own.items()])
 
@@ -29,7 +34,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest id.
 
-    A document without an id stays. Rows with the same id are one document; equal ones become one row.
+    A document without an id stays, and so does one without words. Rows with the same id are one document: of those with
+    the same text, too, one row is left, whatever their other columns hold.
     """
     bounded_batches(spark)
     found = dedup.near_duplicates(docs, width=5, percent=80)
@@ -43,19 +49,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its personal data replaced by their kinds."""
+    """Every document, its personal data replaced by their kinds. A null text stays null, repeated rows stay."""
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, repeated in whole and in part to their sources' targets."""
+    """The documents, repeated in whole and in part to their sources' targets. Those without words are not taken; a null
+    source is a source; repeated rows share what their source takes."""
     out = mixing.mixture(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of tokens, digest of the ids and digest of the decoded bytes of every document of the mix."""
+    """Number of tokens, digest of the ids and digest of the decoded bytes of every document of the mix, one row for each
+    copy. A null text is empty: no tokens."""
     bounded_batches(spark)
     import public_tokenizers
 
@@ -69,9 +77,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs, before = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = materialise(docs, name)
+            if before is not None:
+                release(before)
+            before = docs
     return docs
