@@ -2,14 +2,16 @@
 
 1. Each text becomes its set of word shingles, a digest of that set and a MinHash signature. Texts with equal sets form
    a class; only a class's representative, its smallest id, goes on. So exact copies cost one row each.
-2. A forest of trees orders the signatures, each tree by a permutation of its own. Rows whose first values in a tree
-   meet no other row there are dropped. The rest are range-partitioned and sorted by the whole permuted signature, so a
-   crowded region spreads over partitions. A row's candidates are its neighbours in the order, those with the longest
-   common prefix: at least `depth` values where a region is sparse, and as many more as its crowd makes common.
+2. A forest of trees orders the signatures, each tree by a permutation of its own. Rows that agree in a tree's first
+   DEPTH values are a region of that tree. A region of one row is dropped. In one of up to REGION rows all its rows are
+   candidates of each other: their signatures are compared, as far as they are not joined yet. A more crowded region goes
+   deeper: its rows are range-partitioned and sorted by the whole permuted signature, so that it spreads over partitions,
+   and a row's candidates are the neighbours with the longest common prefix.
 3. Candidates whose signatures agree well enough are joined to tentative components (alternating stars).
-4. A tentative component whose sets fit one task is searched exactly, all its pairs, by an inverted index. In a larger one
-   each row's best candidate is confirmed; then every pair that still crosses components and shares a shingle of both
-   prefixes (rarest first) is compared, wherever the trees put its ends.
+4. A tentative component of few rows is searched exactly in one task, all its pairs, by an inverted index. Rows of larger
+   ones and rows of crowded regions are searched together, however many they are: neighbours are confirmed first; then
+   every pair that still crosses components and shares a shingle of both prefixes (rarest first) is compared. So what a
+   crowd's neighbours miss is found there, and no link depends on REGION or on what a task may hold.
 5. Confirmed links give the components; every member of a class has that of its representative.
 """
 
@@ -23,19 +25,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkscope.llm.common import Memo, materialise, per_process, raw_texts, slices
+from sparkscope.llm.common import Memo, materialise, per_process, raw_texts, release, slices
 
 #: Trees and values of a tree's own; the signature has TREES * DEPTH values.
 TREES, DEPTH = 24, 4
 VALUES = TREES * DEPTH
-#: Values of a tree's order that rows are sorted by.
-CODED = 16
-#: Neighbours of a row that are looked at on its left, and the best of them that are written down as pairs.
-WINDOW, BEST = 32, 8
+#: Rows of a region whose signatures are all compared; larger regions go deeper.
+REGION = 256
+#: Neighbours on a row's left in a crowded region of which the best is confirmed first; that only saves work.
+NEAREST = 4
 #: How far below the threshold the signatures' agreement may lie (over four standard deviations).
 SLACK = 0.18
-#: Members times shingles of a tentative component that one task searches, and its shingles.
-TASK_WORK, TASK_SHINGLES = 4_000_000_000, 4_000_000
+#: Rows and shingles of a tentative component that one task searches; larger ones are searched by all tasks.
+TASK_ROWS, TASK_SHINGLES = 256, 1_000_000
 #: Sets of one salt of a shingle's list, on average.
 MOST_LISTED = 1000
 #: Ids up to so many (8 bytes each) are broadcast to pick texts; more are joined by a shuffle.
@@ -117,21 +119,36 @@ def _tree_keys(reps: DataFrame) -> DataFrame:
     return reps.select("id", "sig").mapInArrow(run, "key long, id long, tree int")
 
 
-def _coded(alive: DataFrame) -> DataFrame:
-    """alive (tree, id, sig) with code: the tree and its first values, as bytes that sort like them."""
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, VALUES) if len(column) else np.zeros((0, VALUES), np.uint32)
+
+
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width) if len(column) else np.zeros((0, width), np.uint8)
+
+
+def _ordered(reps: DataFrame) -> DataFrame:
+    """(id, low binary): the low byte of each value of a signature, which tells values apart as well as an estimate needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trees = batch.column("tree").to_numpy(zero_copy_only=False)
-            values = np.take_along_axis(_signatures(batch.column("sig")), _ORDERS[trees, :CODED], 1).astype(">u4")
-            code = [bytes((t,)) + v.tobytes() for t, v in zip(trees.tolist(), values, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("tree"), batch.column("id"), batch.column("sig"), pa.array(code, pa.binary())], ["tree", "id", "sig", "code"])
+            low = _signatures(batch.column("sig")).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in low], pa.binary())], ["id", "low"])
 
-    return alive.mapInArrow(run, "tree int, id long, sig binary, code binary")
+    return reps.select("id", "sig").mapInArrow(run, "id long, low binary")
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, VALUES) if len(column) else np.zeros((0, VALUES), np.uint32)
+def _coded(rows: DataFrame) -> DataFrame:
+    """(id, code) of rows (tree, id, low): the tree and the signature in the tree's order, as bytes that sort like them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trees = batch.column("tree").to_numpy(zero_copy_only=False)
+            values = np.take_along_axis(_bytes(batch.column("low"), VALUES), _ORDERS[trees], 1)
+            code = np.concatenate([trees.astype(np.uint8)[:, None], values], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in code], pa.binary())], ["id", "code"])
+
+    return rows.select("tree", "id", "low").mapInArrow(run, "id long, code binary")
 
 
 class _Sets:
@@ -152,46 +169,68 @@ class _Sets:
             self.up[max(a, b)] = min(a, b)
 
 
-def _neighbours(sorted_rows: DataFrame, least: float) -> DataFrame:
-    """(a, b, agreement): pairs of neighbours that agree enough, a < b; and, with agreement 2, links to a partition's roots."""
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+
+def _joined_regions(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: links that join, in each region, all rows (key, id, low) whose signatures agree enough, directly or
+    through others. rows are sorted by key, a region's in one partition; pairs that are joined already are not compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = (np.zeros((0, VALUES), np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32))
-        sets = _Sets()
+        key, ids, low, label = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, VALUES), np.uint8), np.zeros(0, np.int64)
+        named = 0
         for batch in batches:
-            tree = batch.column("tree").to_numpy(zero_copy_only=False)
-            raw = _signatures(batch.column("sig"))
-            sig = np.concatenate([before[0], raw])
-            ids = np.concatenate([before[1], batch.column("id").to_numpy(zero_copy_only=False)])
-            trees = np.concatenate([before[2], tree])
-            new = len(before[1])
-            own = np.take_along_axis(sig, _ORDERS[trees, :DEPTH], 1)
-            found = []
-            for o in range(1, min(WINDOW, len(ids) - 1) + 1):
-                right = np.arange(max(new, o), len(ids))
-                right = right[(trees[right] == trees[right - o]) & (own[right] == own[right - o]).all(1)]
-                if not len(right):
-                    break  # sorted: no farther neighbour shares the prefix either
-                agree = (sig[right] == sig[right - o]).mean(1)
-                good = agree >= least
-                found.append(np.stack([right[good], (right - o)[good], agree[good]]))
+            more = batch.num_rows
+            new = len(key)
+            key = np.concatenate([key, batch.column("key").to_numpy(zero_copy_only=False)])
+            ids = np.concatenate([ids, batch.column("id").to_numpy(zero_copy_only=False)])
+            low = np.concatenate([low, _bytes(batch.column("low"), VALUES)])
+            label = np.concatenate([label, np.arange(named, named + more)])
+            named += more
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            begin = np.repeat(first, np.diff(np.append(first, len(key))))
+            ends = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
+            right, found, away = np.arange(new, len(key)), [], 0
+            while len(right):
+                away += 1
+                right = right[right - away >= begin[right]]
+                apart = right[label[right] != label[right - away]]
+                apart = apart[(low[apart] == low[apart - away]).mean(1) >= least]
+                for x in apart.tolist():
+                    if label[x] != label[x - away]:
+                        part = label[begin[x] : ends[x]]
+                        part[part == label[x]] = label[x - away]
+                        found.append((x, x - away))
             if found:
-                at, to, agree = np.concatenate(found, axis=1)
-                at, to = at.astype(np.int64), to.astype(np.int64)
-                for x, y in zip(ids[at].tolist(), ids[to].tolist(), strict=True):
-                    sets.join(x, y)
-                order = np.lexsort((-agree, at))
-                at, to, agree = at[order], to[order], agree[order]
-                place = np.arange(len(at)) - np.searchsorted(at, at)
-                at, to, agree = at[place < BEST], to[place < BEST], agree[place < BEST]
-                x, y = ids[at], ids[to]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(agree)], ["a", "b", "agreement"])
-            before = (sig[-WINDOW:], ids[-WINDOW:], trees[-WINDOW:])
-        links = [(sets.root(x), x) for x in list(sets.up)]
-        links = np.array([p for p in links if p[0] != p[1]], np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1]), pa.array(np.full(len(links), 2.0))], ["a", "b", "agreement"])
-
-    return sorted_rows.mapInArrow(run, "a long, b long, agreement double")
+                at, to = np.array(found).T
+                yield _pairs(ids[at], ids[to])
+            last = begin[-1] if len(key) else 0
+            key, ids, low, label = key[last:], ids[last:], low[last:], label[last:]
+
+    return rows.select("key", "id", "low").mapInArrow(run, "a long, b long")
+
+
+def _nearest(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: of each row (id, code) of a crowd, in sorted order, that of its neighbours on the left which agrees best, and enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, code = np.zeros(0, np.int64), np.zeros((0, VALUES + 1), np.uint8)
+        for batch in batches:
+            new = len(ids)
+            ids = np.concatenate([ids, batch.column("id").to_numpy(zero_copy_only=False)])
+            code = np.concatenate([code, _bytes(batch.column("code"), VALUES + 1)])
+            best, to = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+            for away in range(1, min(NEAREST, len(ids) - 1) + 1):
+                right = np.arange(max(new, away), len(ids))
+                agree = (code[right, 1:] == code[right - away, 1:]).mean(1) * (code[right, : DEPTH + 1] == code[right - away, : DEPTH + 1]).all(1)
+                better = agree > best[right]
+                best[right[better]], to[right[better]] = agree[better], right[better] - away
+            at = np.flatnonzero(best >= least)
+            yield _pairs(ids[at], ids[to[at]])
+            ids, code = ids[-NEAREST:], code[-NEAREST:]
+
+    return rows.select("id", "code").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -208,7 +247,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         met = large.join(low, F.col("u") == F.col("w"))
         small = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = materialise(small.where("u <> v").distinct(), "stars")
+        before, edges = edges, materialise(small.where("u <> v").distinct(), "stars")
+        release(before)
         mark = tuple(edges.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen or mark[0] == 0:
             break
@@ -265,72 +305,85 @@ def _crossing(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """(a, b): every pair of sets of different groups (id, component) that may be similar enough, by a prefix filter.
 
     Two sets that are similar enough share one of the first n - ceil(n * percent / 100) + 1 shingles of each, all sets in
-    one order, here the rarest first. Long lists of a shingle's sets are salted, none is cut.
+    one order, here the rarest first. Of a shingle's sets, those outside its largest group are held against all others,
+    so a crowd that is one group already costs nothing. Long lists are salted, none is cut.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, x in zip(batch.column("id").to_pylist(), batch.column("s").to_pylist(), strict=True):
                 h = np.frombuffer(x, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(np.full(len(h), len(h))), pa.array(h)], ["id", "n", "h"])
+                for k in range(0, len(h), 1 << 16):
+                    part = h[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i)), pa.array(np.full(len(part), len(h))), pa.array(part)], ["id", "n", "h"])
 
     flat = materialise(sets.select("id", "s").mapInArrow(run, "id long, n long, h long"), "shingles")
     common = flat.groupBy("h").agg(F.count("*").alias("c"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("c", "h"))
     least = F.expr(f"({percent} * n + 99) div 100")
     first = flat.join(common, "h").withColumn("place", place).where(F.col("place") <= F.col("n") - least + 1)
-    first = materialise(first.where("c > 1").join(groups, "id", "left").select("id", "n", "h", "c", F.coalesce("component", "id").alias("g")), "prefixes")
-    salts = F.ceil(F.col("c") / MOST_LISTED).cast("long")
-    left = first.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"), "h", F.pmod(F.xxhash64("id"), salts).alias("salt"))
-    right = first.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"), "h", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
-    likely = (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return left.join(right, ["h", "salt"]).where(likely).select("a", "b").distinct()
+    first = materialise(first.where("c > 1").join(groups, "id", "left").select("id", "n", "h", F.coalesce("component", "id").alias("g")), "prefixes")
+    release(flat)
+    met = first.groupBy("h", "g").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("g", F.struct("m", "g")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("gs")).where("gs > 1")
+    rows = first.join(met.select("h", "top", F.ceil(F.col("m") / MOST_LISTED).cast("long").alias("salts")), "h")
+    few = rows.where("g <> top").select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("g").alias("gx"), "h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    every = rows.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy"), (F.col("g") == F.col("top")).alias("top"), "h", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"))
+    likely = (F.col("gx") != F.col("gy")) & (F.col("top") | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    return few.join(every, ["h", "salt"]).where(likely).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _large_components(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(id, component) of the sets (id, s), all of components that no task searches whole.
+    """(id, component) of the linked ones of the sets (id, s), however many they are.
 
-    pairs (a, b, agreement) only save work: sets that their best ones already join need no comparing.
+    pairs (a, b) only save work: sets that they already join need no comparing.
     """
-    pairs = materialise(pairs.groupBy("a", "b").agg(F.max("agreement").alias("agreement")), "pairs")
     sets = sets.dropDuplicates(["id"])  # a repeated row's set may come twice
-    ends = pairs.select(F.col("a").alias("x"), F.struct("agreement", F.col("b").alias("y")).alias("p")).unionByName(pairs.select(F.col("b").alias("x"), F.struct("agreement", F.col("a").alias("y")).alias("p")))
-    best = ends.groupBy("x").agg(F.max("p").alias("p")).select(F.least("x", "p.y").alias("a"), F.greatest("x", "p.y").alias("b")).distinct()
-    links = materialise(_confirmed(best, sets, percent), "confirmed")
+    links = materialise(_confirmed(pairs.distinct(), sets, percent), "confirmed")
     first = materialise(components(links), "first")
     return components(links.unionByName(_confirmed(_crossing(sets, first, percent), sets, percent)))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", task_work: int = TASK_WORK, task_shingles: int = TASK_SHINGLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", region: int = REGION, task_rows: int = TASK_ROWS) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of docs.
 
     Two rows are linked where 100 * |intersection| >= percent * |union| of their shingle sets; component_id is the
     smallest id that a row reaches by links, itself included, and kept holds where it is the row's own id. Null or empty
     texts, and texts without words, have the empty set and are linked with nothing. A row without an id has no
     component and is kept. Rows that repeat an id are each judged by their own text, so equal ones are kept together.
+    region and task_rows choose between ways to the same links.
     """
     rows = materialise(_described(docs, id_col, text_col, width), "signatures")
     full = rows.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
     reps = materialise(full.groupBy("digest").agg(F.min("id").alias("doc"), F.first("c").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "representatives")
     keys = _tree_keys(reps)
-    met = keys.groupBy("key").count().where("count > 1").select("key")
-    alive = materialise(_coded(keys.join(met, "key").select("id", "tree").join(reps.select("id", "sig"), "id").select("tree", "id", "sig")), "met")
-    ordered = alive.repartitionByRange("code").sortWithinPartitions("code", "id")
-    near = materialise(_neighbours(ordered.select("tree", "id", "sig"), percent / 100 - SLACK), "neighbours")
-    tentative = materialise(components(near.where("agreement > 1").select("a", "b")), "tentative")
-    sized = tentative.join(reps.select("id", "n"), "id").groupBy(F.col("component").alias("tentative")).agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    fits = (F.col("shingles") <= task_shingles) & (F.col("members") * F.col("shingles") <= task_work)
-    places = materialise(tentative.join(sized, F.col("component") == F.col("tentative")).select("id", "tentative", fits.alias("fits")), "places")
-    sets = materialise(_shingle_sets(docs, reps.join(places, "id").select("doc"), id_col, text_col, width), "sets")
+    met = keys.groupBy("key").count().where("count > 1").select("key", (F.col("count") > region).alias("crowded"))
+    alive = materialise(keys.join(met, "key").join(_ordered(reps), "id").select("key", "tree", "id", "low", "crowded"), "met")
+    least = percent / 100 - SLACK
+    near = _joined_regions(alive.where("not crowded").repartition("key").sortWithinPartitions("key"), least)
+    crowd = materialise(alive.where("crowded").select("id").distinct(), "crowd")
+    if crowd.limit(1).count():
+        near = near.unionByName(_nearest(_coded(alive.where("crowded")).repartitionByRange("code").sortWithinPartitions("code"), least))
+    near = materialise(near, "neighbours")
+    release(alive)
+    tentative = components(near)
+    lone = crowd.join(tentative.select("id"), "id", "left_anti").select("id", F.col("id").alias("component"))
+    placed = tentative.unionByName(lone).join(reps.select("id", "doc", "n"), "id").join(crowd.withColumn("crowded", F.lit(True)), "id", "left")
+    placed = materialise(placed.select("id", "doc", "n", "component", F.coalesce("crowded", F.lit(False)).alias("crowded")), "placed")
+    sized = placed.groupBy(F.col("component").alias("tentative")).agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.max("crowded").alias("any"))
+    fits = (F.col("shingles") <= TASK_SHINGLES) & (F.col("members") <= task_rows) & ~F.col("any")
+    places = materialise(placed.join(sized, F.col("component") == F.col("tentative")).select("id", "doc", "tentative", fits.alias("fits")), "places")
+    sets = materialise(_shingle_sets(docs, places.select("doc"), id_col, text_col, width), "sets")
     found = _searched(sets.join(places.where("fits").select("id", "tentative"), "id"), percent)
-    large = places.where(~F.col("fits"))
+    large = places.where(~F.col("fits")).select("id")
     if large.limit(1).count():
-        inside = near.where("agreement <= 1").join(large.select(F.col("id").alias("a")), "a")
-        found = found.unionByName(_large_components(inside, sets.join(large.select("id"), "id", "left_semi"), percent))
+        inside = near.join(large.select(F.col("id").alias("a")), "a")
+        found = found.unionByName(_large_components(inside, sets.join(large, "id", "left_semi"), percent))
     found = materialise(found.distinct(), "components")
+    for table in (near, crowd, placed, places, sets):
+        release(table)
     named = reps.select("id", "doc", "digest").join(found, "id", "left").select("doc", "digest", F.coalesce("component", "id").alias("group"))
-    least = named.groupBy("group").agg(F.min("doc").alias("component"))
-    out = rows.join(named.join(least, "group").select("digest", "component"), "digest", "left")
+    least_id = named.groupBy("group").agg(F.min("doc").alias("component"))
+    out = rows.join(named.join(least_id, "group").select("digest", "component"), "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 

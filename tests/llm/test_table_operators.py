@@ -122,7 +122,7 @@ def near(spark):
     return rows
 
 
-@pytest.mark.parametrize("kw", [{}, {"task_work": 1}])
+@pytest.mark.parametrize("kw", [{}, {"task_rows": 1}, {"region": 3}, {"region": 1, "task_rows": 8}])
 def test_near_duplicates(spark, near, kw):
     docs = spark.createDataFrame(near, "doc_id long, text string").selectExpr("*", "1 AS component_id", "'x' AS digest", "2 AS id", "3 AS n")
     found = {r["doc_id"]: r for r in dedup.near_duplicates(docs, 4, 80, **kw).collect()}
@@ -143,11 +143,43 @@ def test_near_duplicates_of_odd_rows(spark):
 def test_large_components_need_no_candidates(spark):
     sets = {i: np.arange(2 * i, 2 * i + 40, dtype=np.uint64) for i in range(1, 6)} | {9: np.arange(500, 540, dtype=np.uint64)}
     rows = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in [*sets.items(), (3, sets[3])]], "id long, s binary")
-    pairs = spark.createDataFrame([(1, 2, 0.9), (3, 4, 0.9), (5, 9, 0.7)], "a long, b long, agreement double")
+    pairs = spark.createDataFrame([(1, 2), (3, 4), (5, 9)], "a long, b long")
     found = {r["id"]: r["component"] for r in dedup._large_components(pairs, rows, 80).collect()}
     assert found == {i: 1 for i in range(1, 6)}
 
 
+def test_a_crowd_over_many_partitions(spark):
+    """One template, filled in by hand: its rows agree in many first values, and are far more than a region or a task takes."""
+    r = random.Random(21)
+    body = [f"t{k}" for k in range(150)]
+    rows = []
+    for i in range(900):
+        text = list(body)
+        for k in r.sample(range(150), r.choice((1, 2, 3, 9))):
+            text[k] = f"x{r.randint(0, 40)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    sets = {i: shingles(t, 4) for i, t in rows}
+    wanted = brute_components(sets)
+    assert len(set(wanted.values())) > 3
+    for kw in ({}, {"region": 40}):
+        assert {x["doc_id"]: x["component_id"] for x in dedup.near_duplicates(docs, 4, 80, **kw).collect()} == wanted
+
+
+def test_regions_join_across_batches(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.integers(0, 256, dedup.VALUES, dtype=np.uint8)
+    rows = [(5, i, bytes(centre)) for i in range(3)] + [(5, 10 + i, rng.integers(0, 256, dedup.VALUES, dtype=np.uint8).tobytes()) for i in range(5)] + [(6, 20, bytes(centre)), (5, 30, bytes(centre))]
+    frame = spark.createDataFrame([(k, i, bytearray(x)) for k, i, x in rows], "key long, id long, low binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        links = dedup._joined_regions(frame.repartition("key").sortWithinPartitions("key"), 0.62).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    found = {r["id"]: r["component"] for r in dedup.components(spark.createDataFrame(links)).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 30: 0}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(50, 90)] + [(3, 1), (2, 3), (1, 1)]
     found = {r["id"]: r["component"] for r in dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
