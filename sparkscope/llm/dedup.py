@@ -38,8 +38,8 @@ NEAREST = 4
 SLACK = 0.18
 #: Rows and shingles of a tentative component that one task searches; larger ones are searched by all tasks.
 TASK_ROWS, TASK_SHINGLES = 256, 1_000_000
-#: Sets of one salt of a shingle's list, on average.
-MOST_LISTED = 1000
+#: Sets of one salt of a shingle's list, on average; and parts that any shingle's list is dealt into before it is sized.
+MOST_LISTED, DEALT = 250, 16
 #: Ids up to so many (8 bytes each) are broadcast to pick texts; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -325,7 +325,8 @@ def _crossing(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     first = materialise(first.where("c > 1").join(groups, "id", "left").select("id", "n", "h", F.coalesce("component", "id").alias("g")), "prefixes")
     release(flat)
     met = first.groupBy("h", "g").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("g", F.struct("m", "g")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("gs")).where("gs > 1")
-    rows = first.join(met.select("h", "top", F.ceil(F.col("m") / MOST_LISTED).cast("long").alias("salts")), "h")
+    met = met.select("h", "top", F.ceil(F.col("m") / MOST_LISTED).cast("long").alias("salts"), F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("deal"))
+    rows = first.withColumn("deal", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(DEALT)).cast("int")).join(met, ["h", "deal"]).drop("deal")
     few = rows.where("g <> top").select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("g").alias("gx"), "h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     every = rows.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy"), (F.col("g") == F.col("top")).alias("top"), "h", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"))
     likely = (F.col("gx") != F.col("gy")) & (F.col("top") | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
