@@ -1,8 +1,9 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
 Candidates are the matches of strict patterns (the base: email, ip, card, phone) and of looser ones (obfuscated email
-addresses, national phone numbers, access keys, social-security numbers). Five labelers vote yes, no or nothing on each:
-the strict pattern itself, a gazetteer of the kind, cue words on the left, the shape, and the neighbouring characters.
+addresses, national phone numbers, social-security numbers, and, as possible secrets, long runs of mixed letters and
+digits). Five labelers vote yes, no or nothing on each: the strict pattern itself, a gazetteer of the kind, cue words on
+the left, the shape, and the neighbouring characters.
 Expectation maximisation over the counts of vote patterns estimates how often each labeler votes how for true and false
 spans; its posteriors are the soft labels of the final classifier, a naive Bayes model over features of the span. Base
 spans always stay; the classifier decides on the others.
@@ -23,7 +24,7 @@ from sparkscope.llm.common import materialise
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn")
 BASE = KINDS[:4]
 
-_LOCAL = "[A-Za-z0-9._%+-]"
+_LOCAL, _RUN = "[A-Za-z0-9._%+-]", "[A-Za-z0-9_/+-]"
 #: Strict patterns. They match what the plain ones match, leftmost and without overlap, but never look at a run twice:
 #: a match can begin only where a run begins or where the previous match ended.
 STRICT = {
@@ -36,7 +37,7 @@ STRICT = {
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.)\x20?[A-Za-z0-9-]{1,63}){1,4}",
     "phone": r"(?<![0-9+.-])(?<![0-9]\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "secret": rf"(?<!{_RUN})(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z]){_RUN}{{20,}}+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A text is searched for a kind only if this holds, which each of its matches implies.
@@ -47,7 +48,7 @@ HINTS = {
     ("phone", True): lambda t: t.rlike(r"\+[0-9]"),
     ("email", False): lambda t: t.rlike(r"[(\[{]at[)\]}]"),
     ("phone", False): lambda t: t.rlike(r"[0-9][.-][0-9]{4}"),
-    ("secret", False): lambda t: t.rlike("AKIA|ASIA"),
+    ("secret", False): lambda t: t.rlike(rf"(?<!{_RUN})(?=[A-Za-z_/+-]*+[0-9]){_RUN}{{20}}"),
     ("ssn", False): lambda t: t.rlike("[0-9]-[0-9]{2}-[0-9]"),
 }
 #: Gazetteers and cues of the labelers (fixed values of this operator).
@@ -56,15 +57,21 @@ GAZETTEER = {
     "ip": (r"^(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[01][0-9]|22[0-3])\.", r"^0+\."),
     "card": (r"^(?:4|5[1-5]|2[2-7]|3[47]|6)", r"^[0179]"),
     "phone": (r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|\(?[2-9])", r"^\(?[01]"),
-    "secret": ("^(?:AKIA|ASIA)", None),
+    "secret": ("^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[a-z]_.*|sk-.*|xox[a-z]-.*|eyJ.*|(?:[0-9a-f]{8}){4,16}|(?:[0-9A-F]{8}){4,16})$", "^[0-9/+-]*[a-z]+(?:[/+-][a-z]*[0-9]*)*$"),
     "ssn": ("^(?!000|666|9)", "^(?:000|666|9)"),
 }
 CUES = {
     "email": "mail|contact|write|address", "ip": "ip|host|server|address|login", "card": "card|visa|master|credit|pay",
-    "phone": "phone|tel|call|fax|mobile|contact", "secret": "key|secret|token|aws|access", "ssn": "ssn|social|security",
+    "phone": "phone|tel|call|fax|mobile|contact", "secret": "(?:key|secret|token|passw|pwd|auth|bearer|credential)[a-z_]*\\W*$", "ssn": "ssn|social|security",
 }
+#: Kinds of which a candidate without a cue speaks against itself.
+NEEDS_CUE = ("secret",)
 AGAINST = r"(?:version|isbn|order|invoice|serial|part)\W*$"
 LABELERS, ROUNDS, CONTEXT = 5, 40, 24
+#: Items of a block of a running sum.
+BLOCK = 256
+#: Spans of a text up to which each is found from the text's start when it is replaced.
+FEW = 64
 
 
 def _luhn(digits: Column) -> Column:
@@ -88,22 +95,66 @@ VALID = {
 _SPAN = "struct<s:int,e:int,k:int,base:boolean,hit:string,left:string,right:string>"
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use names it, also inside other functions' arguments."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(items: Column, value, combine, zero: int) -> Column:
+    """Array of the running combinations (a sum or the like) of value(x) over an array, block by block: appending to one
+    array for each item would copy it each time, so a text with very many spans would take time in their square."""
+    empty = F.array().cast("array<int>")
+
+    def within(x: Column) -> Column:
+        block = lambda b: F.aggregate(F.slice(x, b * BLOCK + 1, F.lit(BLOCK)), empty, lambda acc, i: F.array_append(acc, combine(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(zero)), value(i))))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), block)
+        return _bound(blocks, joined)
+
+    def joined(blocks: Column) -> Column:
+        before = F.aggregate(blocks, F.array(F.lit(zero)), lambda acc, b: F.array_append(acc, combine(F.element_at(acc, -1), F.element_at(b, -1))))
+        return _bound(before, lambda p: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda v: combine(F.get(p, i), v)))))
+
+    return _bound(items, lambda x: F.when(F.size(x) > 0, within(x)).otherwise(empty))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def _found(text: Column, kind: str, strict: bool) -> Column:
     """Array of the spans of one pattern: offsets in code points from the lengths of what lies between the matches."""
     pattern = (STRICT if strict else LOOSE)[kind]
-    gaps = F.split(text, pattern, -1)
-    parts = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0))).alias("after"))
     valid = VALID.get(kind, lambda h: F.lit(True)) if strict else (lambda h: F.lit(True))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["p"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        span = F.struct(begin.alias("s"), end.alias("e"), F.lit(KINDS.index(kind)).alias("k"), F.lit(strict).alias("base"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(CONTEXT)).alias("left"), F.left(x["after"], F.lit(1)).alias("right"))
-        out = F.when(x["hit"].isNotNull() & valid(x["hit"]), F.array_append(acc["out"], span)).otherwise(acc["out"])
-        return F.struct(F.coalesce(end, begin).alias("p"), out.alias("out"))
+    def spans(gaps: Column) -> Column:
+        parts = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0))).alias("after"))
+        return _bound(parts, placed)
+
+    def placed(parts: Column) -> Column:
+        ends = _running(parts, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0)), _sum, 0)
+        hits = F.filter(F.arrays_zip(parts.alias("x"), ends.alias("e")), lambda y: y["x"]["hit"].isNotNull() & valid(y["x"]["hit"]))
+        return F.transform(hits, span)
 
-    start = F.struct(F.lit(0).alias("p"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-    return F.when(HINTS[kind, strict](text), F.aggregate(parts, start, step)["out"]).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    def span(y: Column) -> Column:
+        x = y["x"]
+        return F.struct((y["e"] - F.length(x["hit"])).alias("s"), y["e"].alias("e"), F.lit(KINDS.index(kind)).alias("k"), F.lit(strict).alias("base"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(CONTEXT)).alias("left"), F.left(x["after"], F.lit(1)).alias("right"))
+
+    none = F.array().cast(f"array<{_SPAN}>")
+    return F.when(HINTS[kind, strict](text), _bound(F.split(text, pattern, -1), spans).cast(f"array<{_SPAN}>")).otherwise(none)
+
+
+def _apart(base: Column, loose: Column) -> Column:
+    """The loose spans that overlap none of the base ones: after sorting, by the end of the base before and the start of the one behind."""
+    ordered = F.array_sort(F.transform(F.concat(base, loose), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["base"].alias("base"), x.alias("x"))))
+    far = (1 << 31) - 1
+
+    def kept(rows: Column) -> Column:
+        ends = _running(rows, lambda x: F.when(x["base"], x["e"]).otherwise(0), F.greatest, 0)
+        starts = F.reverse(_running(F.reverse(rows), lambda x: F.when(x["base"], x["s"]).otherwise(far), F.least, far))
+        free = lambda y: ~y["x"]["base"] & (y["a"] <= y["x"]["s"]) & (y["b"] >= y["x"]["e"])
+        return F.transform(F.filter(F.arrays_zip(rows.alias("x"), ends.alias("a"), starts.alias("b")), free), lambda y: y["x"]["x"])
+
+    return F.when((F.size(loose) > 0) & (F.size(base) > 0), _bound(ordered, kept)).otherwise(loose)
 
 
 def _by_kind(k: Column, of: dict[str, Column], rest: Column) -> Column:
@@ -124,9 +175,10 @@ def _votes(x: Column) -> list[Column]:
     hit, left = x["hit"], F.lower(F.coalesce(x["left"], F.lit("")))
     never = F.lit(False)
     listed = _by_kind(x["k"], {k: _vote(hit.rlike(a), hit.rlike(b) if b else never) for k, (a, b) in GAZETTEER.items()}, F.lit(1))
-    cued = _by_kind(x["k"], {k: _vote(left.rlike(c), left.rlike(AGAINST)) for k, c in CUES.items()}, F.lit(1))
+    cued = _by_kind(x["k"], {k: _vote(left.rlike(c), F.lit(True) if k in NEEDS_CUE else left.rlike(AGAINST)) for k, c in CUES.items()}, F.lit(1))
+    varied = F.size(F.array_distinct(F.split(hit, "")))
     plain = hit.rlike(r"^[^0-9]*([0-9])(?:[^0-9]*\1)+[^0-9]*$")  # one digit again and again
-    shape = _by_kind(x["k"], {"email": _vote(hit.rlike("[A-Za-z]"), ~hit.rlike("[A-Za-z]")), "secret": _vote(hit.rlike("[A-Z]{4}.*[0-9]"), never)}, _vote(~plain, plain))
+    shape = _by_kind(x["k"], {"email": _vote(hit.rlike("[A-Za-z]"), ~hit.rlike("[A-Za-z]")), "secret": _vote(varied >= 10, varied < 7)}, _vote(~plain, plain))
     joined = F.right(left, F.lit(1)).rlike("[a-z0-9]") | F.coalesce(x["right"], F.lit("")).rlike("[A-Za-z0-9]")
     return [F.when(x["base"], 2).otherwise(1), listed, cued, shape, _vote(~joined, joined)]
 
@@ -205,8 +257,8 @@ def train(counts: list[tuple[int, int, int]], sizes: list[int]) -> tuple[float,
     return math.log(total[0] / total[1]), [[math.log(a / sum(y) * sum(z) / b) for a, b in zip(y, z, strict=True)] for y, z in zip(yes, no, strict=True)]
 
 
-def candidates(text: Column) -> Column:
-    """All spans of a text: the base ones, then the looser ones that overlap none of them."""
+def candidates(text: Column) -> tuple[Column, Column]:
+    """The base spans of a text, and the looser ones."""
     base = F.concat(*[_found(text, k, True) for k in BASE])
     loose = F.concat(*[_found(text, k, False) for k in LOOSE])
     return base, loose
@@ -222,8 +274,7 @@ def label_spans(docs: DataFrame, keep: list[str], text_col: str = "text") -> Dat
     rows = docs.select(*[docs[c].alias(k) for c, k in zip(keep, inner, strict=True)], F.coalesce(docs[text_col], F.lit("")).alias("text"))
     base, loose = candidates(F.col("text"))
     rows = rows.select(*inner, base.alias("base"), loose.alias("loose"))
-    apart = F.filter("loose", lambda x: ~F.exists("base", lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"])))
-    rows = rows.select(*inner, F.concat("base", F.when(F.size("loose") > 0, apart).otherwise(F.col("loose"))).alias("all"))
+    rows = rows.select(*inner, F.concat("base", _apart(F.col("base"), F.col("loose"))).alias("all"))
     coded = lambda x: F.struct(
         x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["base"].alias("base"), _code([(3, v) for v in _votes(x)]).alias("votes"), _code(_features(x)).alias("features")
     )
@@ -248,7 +299,11 @@ def _listed(spans: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row of docs; repeated rows get a row each."""
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, n_added) of every row of docs; repeated rows get a row each.
+
+    The counts by kind are those of the base; n_added is the number of the spans that the classifier added to them, n_spans
+    that of all.
+    """
     found = label_spans(docs, [id_col], text_col)
     base = F.filter("spans", lambda x: x["base"])
 
@@ -256,7 +311,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.size(F.filter(base, lambda x: x["k"] == k)).cast("long")
 
     counts = [number(k).alias(f"n_{kind}") for k, kind in enumerate(BASE)]
-    return found.select(id_col, *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    return found.select(id_col, *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), F.size(F.filter("spans", lambda x: ~x["base"])).cast("long").alias("n_added"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -269,11 +324,22 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.col(text_col)
     names = F.array(*map(F.lit, KINDS))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["p"] + 1, F.greatest(x["s"] - acc["p"], F.lit(0)))
-        more = F.when(x["s"] >= acc["p"], F.concat(acc["out"], gap, F.lit("<"), F.upper(F.element_at(names, x["k"] + 1)), F.lit(">"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["p"], x["e"]).alias("p"), more.alias("out"))
+    def replaced(between) -> Column:
+        """between(a, b): the text from code point a on up to b."""
+
+        def joined(rows: Column) -> Column:
+            # a span that begins before an earlier one ends is part of that one
+            shown = F.filter(rows, lambda y: y["x"]["s"] >= y["to"])
+            parts = F.transform(shown, lambda y: F.concat(between(y["to"], y["x"]["s"]), F.lit("<"), F.upper(F.element_at(names, y["x"]["k"] + 1)), F.lit(">")))
+            end = F.greatest(F.element_at(rows, -1)["to"], F.element_at(rows, -1)["x"]["e"])
+            return F.concat(F.array_join(parts, ""), between(end, F.length(text)))
+
+        ends = _running(F.col("spans"), lambda x: x["e"], F.greatest, 0)
+        before = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size("spans") - 1))
+        return _bound(F.arrays_zip(F.col("spans").alias("x"), before.alias("to")), joined)
 
-    start = F.struct(F.lit(0).alias("p"), F.lit("").alias("out"))
-    whole = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["p"] + 1, F.length(text))))
+    # finding a place counts code points from the text's start, so a text with many spans is taken apart first
+    few = replaced(lambda a, b: F.substring(text, a + 1, b - a))
+    many = _bound(F.split(text, ""), lambda c: replaced(lambda a, b: F.array_join(F.slice(c, a + 1, b - a), "")))
+    whole = F.when(F.size("spans") <= FEW, few).otherwise(many)
     return found.withColumn(text_col, F.when(F.size("spans") > 0, whole).otherwise(text)).select(*columns)

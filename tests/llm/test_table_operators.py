@@ -242,6 +242,41 @@ def test_more_spans_and_redaction(spark):
     assert out[3] == "see <EMAIL> or <PHONE> at <IP>"
 
 
+def test_secrets_are_added(spark):
+    r = random.Random(31)
+    secret = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    rows, wanted = [], {}
+    for i in range(300):
+        before, s = r.choice(['so token = "', "the api_key: ", "password='"]), secret(40)
+        rows.append((i, f'{"é" * (i % 5)}{before}{s}" and more words'))
+        wanted[i] = f"secret:{len(rows[-1][1].split(s)[0])}:{len(rows[-1][1].split(s)[0]) + 40}"
+    rows += [(1000 + i, f"see page-{i}-of-the-long-running-story or figure/{secret(8)}/overview-of-things") for i in range(300)]
+    rows += [(2000 + i, f"me{i}@mail.example.com and 10.0.0.{i % 200}") for i in range(300)]
+    found = {x["doc_id"]: x for x in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i]["spans"] == s and found[i]["n_added"] == 1 and found[i]["base_sha256"] == hashlib.sha256(b"").hexdigest() for i, s in wanted.items())
+    assert not any(found[i]["n_added"] for i in found if i >= 1000)
+
+
+def test_texts_with_very_many_spans(spark):
+    n = 100_000
+    text = " ".join(f"u{i}@h.de" for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, "x 1.2.3.4 (555) 123-4567 " * 3000)], "doc_id long, text string")
+    found = {x["doc_id"]: x for x in pii.find_pii(docs).collect()}
+    assert found[1]["n_email"] == n and found[1]["base_sha256"] == hashlib.sha256(base_spans(text).encode()).hexdigest()
+    assert found[2]["n_ip"] == 3000
+    out = {x["doc_id"]: x["text"] for x in pii.redact(docs).collect()}
+    assert out[1] == " ".join(["<EMAIL>"] * n)
+
+
+def test_running_combinations(spark):
+    r = random.Random(3)
+    for size in (0, 1, 255, 256, 257, 1000):
+        values = [r.randint(0, 99) for _ in range(size)]
+        frame = spark.createDataFrame([(values,)], "v array<int>")
+        sums, tops = frame.select(pii._running(frame["v"], lambda x: x, pii._sum, 0), pii._running(frame["v"], lambda x: x, pii.F.greatest, 0)).first()
+        assert sums == [sum(values[: i + 1]) for i in range(size)] and tops == [max(values[: i + 1]) for i in range(size)]
+
+
 def test_estimation_tells_labelers_apart():
     code = lambda *v: sum(x * 3**i for i, x in enumerate(v))
     counts = {code(2, 2, 1, 2, 2): 900, code(1, 0, 1, 0, 0): 300, code(1, 2, 1, 2, 2): 50, code(1, 0, 1, 2, 0): 30}
