@@ -2,6 +2,7 @@
 
 import array
 import hashlib
+import math
 import random
 import zlib
 
@@ -168,12 +169,59 @@ def test_measures():
         assert dups == len(lines) - len(set(lines)) and repeats == brute_repeats(words)
 
 
-def test_certified_cutoffs():
-    assert quality.certified_cutoff([0, 0, 0], 10, 0.05, 0.05) == 3  # too few texts prove nothing
-    assert quality.certified_cutoff([50, 0, 0], 1000, 0.01, 0.05) == 1
-    assert quality.certified_cutoff([0, 50, 0], 1000, 0.01, 0.05) == 2  # a failed test ends the sequence
+def test_certified_steps():
+    assert quality.certified_steps([0, 0, 0], 10, 0.05, 0.05) == 0  # too few texts prove nothing
+    assert quality.certified_steps([0, 0, 50], 1000, 0.01, 0.05) == 2
+    assert quality.certified_steps([0, 50, 50], 1000, 0.01, 0.05) == 1  # a failed test ends the sequence
     # exact tail: P(X <= 0) = 0.99 ** n
-    assert quality.certified_cutoff([0], 299, 0.01, 0.05) == 0 and quality.certified_cutoff([0], 298, 0.01, 0.05) == 1
+    assert quality.certified_steps([0], 299, 0.01, 0.05) == 1 and quality.certified_steps([0], 298, 0.01, 0.05) == 0
+
+
+def test_path_takes_what_pays():
+    good, bad = [[500, 0, 0, 0], [400, 60, 40, 0]], [[10, 0, 30, 10], [25, 5, 0, 20]]
+    steps = quality.path(good, bad)
+    assert steps[0] == (0, 1) and (1, 2) in steps and (1, 0) not in steps
+    assert quality.path([[5, 0]], [[0, 0]]) == [] and quality.path([], []) == []
+
+
+def test_quality_verdict_is_that_of_a_plain_computation(spark):
+    r = random.Random(17)
+    rows, labels = [], {}
+    for i in range(2400):
+        bad = r.random() < 0.3
+        words = [f"w{r.randint(0, 5000)}" + ("#" * r.randint(0, 3) if r.random() < (0.6 if bad else 0.02) else "") for _ in range(60)]
+        rows.append((i, " ".join(words), r.choice(["aa", "bb", None])))
+        if i % 5:
+            labels[i] = int(not bad)
+    rows += [(3000, "word " * 40000, "aa"), (3001, "", "bb"), (3002, None, "cc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    frame = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    found = {x["doc_id"]: x["kept"] for x in quality.quality_rules(docs, frame).collect()}
+    half = {x[0]: x[1] for x in docs.selectExpr("doc_id", "pmod(xxhash64(cast(doc_id AS string), 29), 2)").collect()}
+    grids = list(quality.RULES.values())
+    bins, base = {}, {}
+    for i, t, _ in rows:
+        m = quality.measures((t or "").encode())
+        bins[i] = [sum(c < v for c in g) for g, v in zip(grids, quality.rule_values(m), strict=True)]
+        base[i] = m[0] < 50 or 2 * m[4] > m[0]
+    for stratum in ("aa", "bb", None):
+        mine = [i for i, _, s in rows if s == stratum]
+        usable = [i for i in mine if i in labels and not base[i]]
+        tune = [i for i in usable if half[i] == 0]
+        count = lambda y: [[sum(bins[i][k] == b for i in tune if labels[i] == y) for b in range(len(g) + 1)] for k, g in enumerate(grids)]  # noqa: B023, E731
+        steps = quality.path(count(1), count(0))
+        test = [i for i in usable if half[i] == 1 and labels[i] == 1]
+        taken = 0
+        for n in range(1, len(steps) + 1):
+            x = sum(any(bins[i][k] > c for k, c in steps[:n]) for i in test)
+            tail = sum(math.comb(len(test), j) * 0.06**j * 0.94 ** (len(test) - j) for j in range(x + 1))
+            if tail > 0.05 / 3:
+                break
+            taken = n
+        assert taken > 0
+        for i in mine:
+            assert found[i] == (not base[i] and not any(bins[i][k] > c for k, c in steps[:taken])), (i, stratum)
+    assert not found[3002] and not found[3001]
 
 
 def test_quality_rules(spark):
