@@ -12,6 +12,7 @@ short segments and exact for integral scores however long the text is.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -169,7 +170,7 @@ def token_counts(docs: DataFrame, vocabulary: dict, id_col: str = "doc_id", text
     One row for each row of docs, repeated ones too; a null text counts as empty: 0 tokens, score 0. A null id stays
     null. Other columns are not read. No shuffle: one pass over the scan's partitions.
     """
-    key = ("unigram", len(vocabulary["pieces"]), hash(tuple(vocabulary["pieces"][-50:])))
+    key = ("unigram", hashlib.sha256(repr(sorted(vocabulary.items())).encode()).hexdigest())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = per_process(key, lambda: UnigramCounter(**vocabulary))
