@@ -13,15 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkscope.llm.common import per_process, slices, texts
 
 DIMENSIONS = 1 << 12
 UNDETERMINED = "und"
-#: Bounds of the fit: sampled labelled texts of each language, and languages.
-SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 500, 200
+#: Bounds of the fit: labelled texts that are drawn of each language, and of all together; every language gets LEAST_DRAWN.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS, LEAST_DRAWN = 500, 30_000, 20
+#: Rows whose features are held as 32-bit numbers at once.
+FIT_BLOCK = 4096
 
 #: ASCII that is no letter becomes a space, before n-grams are taken.
 _TABLE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -63,70 +65,91 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, languages: list[str], rounds: int = 80) -> dict:
-    """Weights of the bits' classifiers (regularised logistic loss, full-batch momentum) and the bits' reliabilities."""
+    """Weights of the bits' classifiers (regularised logistic loss, full-batch momentum) and the bits' reliabilities.
+
+    x may hold 16-bit numbers; it is widened block by block.
+    """
     codes = codewords(len(languages))
     hold = np.arange(len(y)) % 5 == 0 if len(y) >= 50 else np.zeros(len(y), bool)
     target = codes[y].astype(np.float32)
     share = 1.0 / np.bincount(y, minlength=len(languages)).clip(1)[y].astype(np.float32)
-    a, t, s = x[~hold], target[~hold], (share[~hold] / share[~hold].sum())[:, None]
+    fitted = np.flatnonzero(~hold)
+    share /= share[fitted].sum()
     w = np.zeros((x.shape[1], codes.shape[1]), np.float32)
     bias = np.zeros(codes.shape[1], np.float32)
     move, move_bias = np.zeros_like(w), np.zeros_like(bias)
     for _ in range(rounds):
-        g = -t * s / (1 + np.exp(np.clip(t * (a @ w + bias), -30, 30)))
-        move = 0.9 * move - 12.0 * (a.T @ g + 1e-5 * w)
-        move_bias = 0.9 * move_bias - 2.0 * g.sum(0)
+        slope, slope_bias = 1e-5 * w, np.zeros_like(bias)
+        for i in range(0, len(fitted), FIT_BLOCK):
+            rows = fitted[i : i + FIT_BLOCK]
+            a, t = x[rows].astype(np.float32), target[rows]
+            g = -t * share[rows, None] / (1 + np.exp(np.clip(t * (a @ w + bias), -30, 30)))
+            slope += a.T @ g
+            slope_bias += g.sum(0)
+        move = 0.9 * move - 12.0 * slope
+        move_bias = 0.9 * move_bias - 2.0 * slope_bias
         w += move
         bias += move_bias
     reliable = np.ones(codes.shape[1])
     if hold.any():
-        right = ((x[hold] @ w + bias) * target[hold] > 0).mean(0)
+        right = ((x[hold].astype(np.float32) @ w + bias) * target[hold] > 0).mean(0)
         reliable = np.clip(np.log((right + 0.01) / (1.01 - right)), 0.1, None)
     return {"languages": languages, "codes": codes, "w": w, "bias": bias, "reliable": (reliable / reliable.sum()).astype(np.float32)}
 
 
-def decode(model: dict, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best language's index, its score (0 to 1) and the margin to the second, of rows of bit scores."""
-    m = model["codes"].astype(np.float32)
-    loss = np.logaddexp(0, -scores[:, None, :] * m[None]) @ model["reliable"]
-    p = np.exp(-4 * (loss - loss.min(1, keepdims=True)))
-    p /= p.sum(1, keepdims=True)
-    best = p.argmax(1)
-    top = np.sort(p, 1)
-    return best, p[np.arange(len(p)), best], top[:, -1] - (top[:, -2] if p.shape[1] > 1 else 0)
+def decode(model: dict, scores: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best language's index, its score (0 to 1) and the margin to the second, of rows of bit scores.
+
+    A bit's loss, log(1 + exp(-score * bit)), has two values only, so a codeword's total is a sum of two products.
+    """
+    ones = (model["codes"] > 0).astype(np.float32).T
+    best, score, margin = np.empty(len(scores), np.int64), np.empty(len(scores)), np.empty(len(scores))
+    for i in range(0, len(scores), block):
+        s = scores[i : i + block].astype(np.float32)
+        loss = (np.logaddexp(0, -s) * model["reliable"]) @ ones + (np.logaddexp(0, s) * model["reliable"]) @ (1 - ones)
+        p = np.exp(-4 * (loss - loss.min(1, keepdims=True)))
+        p /= p.sum(1, keepdims=True)
+        best[i : i + block] = p.argmax(1)
+        score[i : i + block] = p.max(1)
+        top = np.partition(p, -2, axis=1)[:, -2] if p.shape[1] > 1 else 0
+        margin[i : i + block] = p.max(1) - top
+    return best, score, margin
 
 
 def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict | None:
-    """Model from a bounded sample of labelled rows: for each language the rows whose hashed id lies below a share that gives
-    SAMPLE_PER_LANGUAGE rows on average, never more than twice as many; at most MOST_LANGUAGES languages, the largest.
+    """Model from a bounded sample of labelled rows of every language: of each at most SAMPLE_PER_LANGUAGE, or fewer where all
+    would be over SAMPLE_ROWS, but LEAST_DRAWN. Rows are drawn by the hash of their id and text, so ids that are null or
+    repeat don't tie them; rows equal in both teach once.
 
     Rows without a language, text or letter teach nothing. None if nothing is left.
     """
-    labelled = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull())
-    sizes = labelled.groupBy(labelled[lang_col].alias("l")).count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()
+    labelled = docs.where(docs[lang_col].isNotNull() & docs[text_col].rlike(r"\p{L}")).select(docs[lang_col].alias("l"), docs[text_col].alias("t"), F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("i"))
+    sizes = [tuple(r) for r in labelled.groupBy("l").count().collect()]
     if not sizes:
         return None
-    share = None
-    for lang, n in sizes:
-        here = F.when(labelled[lang_col] == lang, F.lit(min(1.0, SAMPLE_PER_LANGUAGE / n)))
-        share = here if share is None else share.when(labelled[lang_col] == lang, F.lit(min(1.0, SAMPLE_PER_LANGUAGE / n)))
-    drawn = F.pmod(F.xxhash64(F.coalesce(labelled[id_col].cast("string"), F.lit("")), F.lit(11)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = labelled.where(drawn < share).select(labelled[lang_col].alias("l"), labelled[text_col].alias("t"), drawn.alias("u"))
+    most = min(SAMPLE_PER_LANGUAGE, max(LEAST_DRAWN, SAMPLE_ROWS // len(sizes)))
+    drawn = F.pmod(F.xxhash64("i", "t", F.lit(11)), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    # somewhat more than wanted by the hash, so that few texts go on, then the first of them
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, (most + 4 * most**0.5 + 8) / n)) for lang, n in sizes], "of string, share double")
+    sample = labelled.join(F.broadcast(shares), F.col("l") == F.col("of")).where(drawn < F.col("share")).select("l", "t", drawn.alias("u")).dropDuplicates(["l", "u"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
             kept = [(lang, x.astype(np.float16).tobytes(), u) for lang, t, u in zip(batch.column("l").to_pylist(), texts(batch.column("t")), batch.column("u").to_pylist(), strict=True) if has_letter(t) and (x := features(t)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.string()), pa.array([k[1] for k in kept], pa.binary()), pa.array([k[2] for k in kept], pa.float64())], ["l", "x", "u"])
 
-    drawn_rows = sample.mapInArrow(run, "l string, x binary, u double")
-    most = 2 * SAMPLE_PER_LANGUAGE * len(sizes)
-    rows = drawn_rows.orderBy("u", "l", "x").limit(most).toArrow()
+    order = Window.partitionBy("l").orderBy("u", "x")
+    rows = sample.mapInArrow(run, "l string, x binary, u double").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    rows = rows.select("l", "place", "x").toArrow().sort_by([("place", "ascending"), ("l", "ascending")])
     languages = sorted({x for x in rows.column("l").to_pylist()})
     if not languages:
         return None
     number = {x: i for i, x in enumerate(languages)}
     y = np.array([number[v] for v in rows.column("l").to_pylist()])
-    x = np.stack([np.frombuffer(v, np.float16) for v in rows.column("x").to_pylist()]).astype(np.float32)
+    x = np.empty((len(y), DIMENSIONS), np.float16)
+    for i, v in enumerate(rows.column("x")):
+        x[i] = np.frombuffer(v.as_buffer(), np.float16)
+    del rows
     model = fit(x, y, languages)
     model["key"] = hashlib.sha256(model["w"].tobytes()).hexdigest()
     return model
