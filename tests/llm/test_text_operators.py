@@ -108,6 +108,40 @@ def test_bpe_frames(docs, ranks):
     assert bpe.encode_digests(docs.where("false"), ranks, P.PATTERN).count() == 0
 
 
+def library_digests(ranks, texts):
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out = {}
+    for i, t in texts:
+        ids = array.array("I", library.encode_ordinary(t or ""))
+        out[i] = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+    return out
+
+
+def test_long_texts_are_dealt_over_tasks(spark, ranks):
+    texts = [*enumerate(odd_texts(30, 3000, 8)), (50, "a" * 5000), (51, " " * 3000 + "x"), (52, "it's we'll I'd " * 300), (53, None), (54, ""), (55, ("word " * 40 + "x" * 90) * 20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 AS `row`", "2 AS k", "'x' AS t").repartition(3)
+    wanted = library_digests(ranks, texts)
+    for chunk, overlap in ((200, 64), (1000, 32)):
+        found = bpe.encode_digests(docs, ranks, P.PATTERN, long=300, long_chunk=chunk, long_overlap=overlap).collect()
+        assert {r["doc_id"]: tuple(r)[1:] for r in found} == wanted and len(found) == len(texts)
+    assert {r["doc_id"]: tuple(r)[1:] for r in bpe.encode_digests(docs, ranks, P.PATTERN).collect()} == wanted
+
+
+def test_tables_of_equal_size_are_told_apart(spark):
+    one = {bytes([b]): b for b in range(256)}
+    two = {bytes([b]): 255 - b for b in range(256)}
+    docs = spark.createDataFrame([(1, "ab")], "doc_id long, text string").coalesce(1)
+    ids = [bpe.encode(docs, t, P.PATTERN).first()["ids"] for t in (one, two, one)]
+    assert ids == [[97, 98], [158, 157], [97, 98]]
+    pieces = [("▁", -1.0), ("a", -1.0), ("b", -2.0), ("ab", -9.0)]
+    vocabularies = [{"pieces": p, "byte_fallback": f, "dummy_prefix": True} for p, f in ((pieces, False), ([*pieces[:3], ("ab", -1.0)], False), (pieces, True))]
+    texts = spark.createDataFrame([(1, "ab"), (2, "é")], "doc_id long, text string").coalesce(1)
+    found = [[r["n_tokens"] for r in token_counts.token_counts(texts, v).orderBy("doc_id").collect()] for v in vocabularies]
+    assert found == [[3, 2], [2, 2], [3, 3]]
+
+
 def test_codewords():
     for n in (1, 2, 3, 4, 5, 6, 20):
         c = langid.codewords(n)
@@ -147,6 +181,22 @@ def test_language_id_without_labels(spark):
     assert {r["lang_pred"] for r in langid.identify(one).collect()} == {"de", "und"}
 
 
+def test_language_id_of_odd_tables(spark):
+    docs = language_docs(spark, 400)
+    clash = docs.selectExpr("*", "1 AS l", "2 AS t", "'x' AS u", "3 AS held", "4 AS lang_pred", "5 AS score", "6 AS ambiguous", "7 AS id", "8 AS k0").unionByName(docs.where("doc_id < 4").selectExpr("*", "1 AS l", "2 AS t", "'x' AS u", "3 AS held", "4 AS lang_pred", "5 AS score", "6 AS ambiguous", "7 AS id", "8 AS k0"))
+    assert langid.identify(clash).count() == clash.count()
+    none = docs.where("doc_id < 400").selectExpr("cast(null AS long) AS doc_id", "text", "lang")
+    assert {r["lang_pred"] for r in langid.identify(none).collect()} == set(WORDS)
+    same = docs.where("doc_id < 400").selectExpr("8 AS doc_id", "text", "lang")
+    assert {r["lang_pred"] for r in langid.identify(same).collect()} == set(WORDS)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(7 * i + k, " ".join([f"{chr(97 + i % 26)}{chr(97 + i // 26)}q" * 2] * 9), f"l{i}") for i in range(230) for k in range(7)]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len({r["lang_pred"] for r in found}) > 220
+
+
 def test_ambiguity_is_flagged():
     model = {"languages": ["a", "b"], "codes": np.array([[1], [-1]], np.int8), "reliable": np.ones(1, np.float32)}
     best, score, margin = langid.decode(model, np.array([[0.001], [5.0], [-5.0]], np.float32))
