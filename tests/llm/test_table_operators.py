@@ -346,13 +346,25 @@ def test_scores(spark):
     assert lm.score(docs.where("doc_id = 7").selectExpr("5 AS doc_id", "text")).count() == 2
 
 
-def test_fit_is_normalised_and_learns():
-    u = lm.UNITS
-    cells = np.array([(5 * u + 6) * u + 7, (6 * u + 7) * u + 5, (7 * u + 5) * u + 6])
-    table = lm.fit_nce(cells, np.array([1000, 1000, 1000]))
-    assert np.allclose(np.exp(table).sum(2), 1)
-    assert table[5, 6].argmax() == 7 and table[6, 7].argmax() == 5 and table[7, 5].argmax() == 6
-    assert np.isneginf(table[:, :, lm.BEGIN_UNIT]).all()
+def test_model_is_normalised_and_learns():
+    u = lm.FIRST_WORD + 70
+    a, b, c = lm.FIRST_WORD + 3, lm.FIRST_WORD + 40, 5
+    cells, n = np.array([(a * u + b) * u + c, (b * u + c) * u + a, (c * u + a) * u + b]), np.array([1000, 1000, 1000])
+    model = lm.Model(np.bincount(cells % u, weights=n, minlength=u))
+    model.train(cells, n, 3)
+    every = np.delete(np.arange(u), lm.BEGIN_UNIT)
+    for x, y, z in ((a, b, c), (b, c, a), (c, a, b), (lm.BEGIN_UNIT, lm.BEGIN_UNIT, None), (a, a, None)):
+        p = model.log_probability(np.full(len(every), x), np.full(len(every), y), every)
+        assert np.exp(p).sum() == pytest.approx(1, abs=1e-4)
+        assert z is None or every[p.argmax()] == z
+        # by the definition, unit by unit
+        at = model.context(np.array([x]), np.array([y]))[0]
+        logits = model.p["qc"] @ at + model.p["bc"][:, 0]
+        for w in (0, c, a, b, u - 1):
+            k = model.of[w]
+            inside = model.p["q"][model.low[k] : model.high[k]] @ at + model.p["b"][model.low[k] : model.high[k], 0]
+            wanted = logits[k] - np.log(np.exp(logits).sum()) + inside[w - model.low[k]] - np.log(np.exp(inside).sum())
+            assert p[list(every).index(w)] == pytest.approx(wanted, abs=1e-4)
 
 
 def test_context_tells_between_words_outside_the_most_frequent(spark):
@@ -364,13 +376,19 @@ def test_context_tells_between_words_outside_the_most_frequent(spark):
     assert found[ids[0]] - found[ids[1]] > 150 * 0.7
 
 
-def test_training_takes_every_counted_triple(monkeypatch):
-    units, n = 200, np.arange(1_500_000) % 9 + 1
-    seen = np.zeros(len(n))
-    step = lambda self, u, v, w, weight, *_: np.add.at(seen, (u * units + v) * units + w, weight)
+def test_training_draws_triples_by_their_counts(monkeypatch):
+    units, n = lm.FIRST_WORD + 9, np.array([1, 50, 400, 100_000, 3, 1_000_000])
+    cells = np.arange(len(n)) * 7 + 1
+    seen, steps = np.zeros(units**3 if units < 300 else 100), []
+    step = lambda self, u, v, w, weight, *_: (np.add.at(seen, (u * units + v) * units + w, weight), steps.append(len(w)))
     monkeypatch.setattr(lm.Model, "_step", step)
-    lm.Model(np.ones(units)).train(np.arange(len(n)), n, 1)
-    assert np.allclose(seen, n, rtol=1e-5)
+    lm.Model(np.ones(units)).train(cells, n, 1)
+    assert len(steps) == lm.LEAST_STEPS and set(steps) == {lm.BATCH}
+    share = seen[cells] / seen.sum()
+    assert np.allclose(share, n / n.sum(), atol=1 / (lm.LEAST_STEPS * lm.BATCH) * 1.01)
+    steps.clear()
+    lm.Model(np.ones(units)).train(cells, n * 100, 1)
+    assert len(steps) == n.sum() * 100 // (lm.TOKENS_A_DRAW * lm.BATCH)
 
 
 def test_pipeline(spark):
