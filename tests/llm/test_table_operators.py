@@ -387,7 +387,7 @@ def test_training_draws_triples_by_their_counts(monkeypatch):
     share = seen[cells] / seen.sum()
     assert np.allclose(share, n / n.sum(), atol=1 / (lm.LEAST_STEPS * lm.BATCH) * 1.01)
     steps.clear()
-    lm.Model(np.ones(units)).train(cells, n * 100, 1)
+    lm.Model(np.ones(units)).train(cells, n * 100, 1, 3)
     assert len(steps) == n.sum() * 100 // (lm.TOKENS_A_DRAW * lm.BATCH)
 
 
