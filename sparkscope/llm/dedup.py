@@ -212,7 +212,8 @@ def _joined_regions(rows: DataFrame, least: float) -> DataFrame:
 
 
 def _nearest(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b: of each row (id, code) of a crowd, in sorted order, that of its neighbours on the left which agrees best, and enough."""
+    """(a, b), a < b: of each row of a crowd the neighbour on its left, in the sorted order (id, code) of any tree, that
+    agrees best, if it agrees enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, code = np.zeros(0, np.int64), np.zeros((0, VALUES + 1), np.uint8)
@@ -227,10 +228,12 @@ def _nearest(rows: DataFrame, least: float) -> DataFrame:
                 better = agree > best[right]
                 best[right[better]], to[right[better]] = agree[better], right[better] - away
             at = np.flatnonzero(best >= least)
-            yield _pairs(ids[at], ids[to[at]])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[to[at]]), pa.array(best[at])], ["x", "y", "agreement"])
             ids, code = ids[-NEAREST:], code[-NEAREST:]
 
-    return rows.select("id", "code").mapInArrow(run, "a long, b long")
+    found = rows.select("id", "code").mapInArrow(run, "x long, y long, agreement double")
+    best = found.groupBy("x").agg(F.max(F.struct("agreement", "y")).alias("p"))
+    return best.select(F.least("x", "p.y").alias("a"), F.greatest("x", "p.y").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
