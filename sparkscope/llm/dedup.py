@@ -7,7 +7,7 @@
    candidates of each other: their signatures are compared, as far as they are not joined yet. A more crowded region goes
    deeper: its rows are range-partitioned and sorted by the whole permuted signature, so that it spreads over partitions,
    and a row's candidates are the neighbours with the longest common prefix.
-3. Candidates whose signatures agree well enough are joined to tentative components (alternating stars).
+3. Candidates of the smaller regions whose signatures agree well enough are joined to tentative components.
 4. A tentative component of few rows is searched exactly in one task, all its pairs, by an inverted index. Rows of larger
    ones and rows of crowded regions are searched together, however many they are: neighbours are confirmed first; then
    every pair that still crosses components and shares a shingle of both prefixes (rarest first) is compared. So what a
@@ -38,6 +38,8 @@ NEAREST = 4
 SLACK = 0.18
 #: Rows and shingles of a tentative component that one task searches; larger ones are searched by all tasks.
 TASK_ROWS, TASK_SHINGLES = 256, 1_000_000
+#: Links that one task joins by a union-find.
+LOCAL_EDGES = 200_000
 #: Sets of one salt of a shingle's list, on average; and parts that any shingle's list is dealt into before it is sized.
 MOST_LISTED, DEALT = 250, 16
 #: Ids up to so many (8 bytes each) are broadcast to pick texts; more are joined by a shuffle.
@@ -236,14 +238,33 @@ def _nearest(rows: DataFrame, least: float) -> DataFrame:
     return best.select(F.least("x", "p.y").alias("a"), F.greatest("x", "p.y").alias("b"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(u, v): in each partition of edges (u, v) each id but the smallest of its component there, and that smallest one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _Sets()
+        for batch in batches:
+            for x, y in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                sets.join(x, y)
+        found = np.array([(x, r) for x in list(sets.up) if (r := sets.root(x)) != x], np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
+
+def components(links: DataFrame, most: int = LOCAL_EDGES) -> DataFrame:
     """(id, component): connected components of links (a, b), component being the smallest id; only linked ids are there.
 
-    Alternating large and small stars: each round is joins and minima over (id, id) rows, written to the shared folder.
+    Links are counted first. Parts of up to `most` are joined by a union-find each; one part is all there is to do. More
+    are joined by alternating large and small stars: each round is joins and minima over (id, id) rows, written to the
+    shared folder.
     """
-    edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    links = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    parts = max(1, -(-links.count() // most))
+    edges = materialise(_contracted(links.coalesce(1) if parts == 1 else links.repartition(parts)), "stars")
+    release(links)
     seen = None
-    while True:
+    while parts > 1:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -364,10 +385,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     alive = materialise(keys.join(met, "key").join(_ordered(reps), "id").select("key", "tree", "id", "low", "crowded"), "met")
     least = percent / 100 - SLACK
     near = _joined_regions(alive.where("not crowded").repartition("key").sortWithinPartitions("key"), least)
+    near = materialise(near, "neighbours")
     crowd = materialise(alive.where("crowded").select("id").distinct(), "crowd")
+    nearest = None
     if crowd.limit(1).count():
-        near = near.unionByName(_nearest(_coded(alive.where("crowded")).repartitionByRange("code").sortWithinPartitions("code"), least))
-    near = materialise(near, "neighbours")
+        nearest = materialise(_nearest(_coded(alive.where("crowded")).repartitionByRange("code").sortWithinPartitions("code"), least), "nearest")
     release(alive)
     tentative = components(near)
     lone = crowd.join(tentative.select("id"), "id", "left_anti").select("id", F.col("id").alias("component"))
@@ -381,6 +403,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     large = places.where(~F.col("fits")).select("id")
     if large.limit(1).count():
         inside = near.join(large.select(F.col("id").alias("a")), "a")
+        inside = inside if nearest is None else inside.unionByName(nearest)
         found = found.unionByName(_large_components(inside, sets.join(large, "id", "left_semi"), percent))
     found = materialise(found.distinct(), "components")
     for table in (near, crowd, placed, places, sets):

@@ -182,8 +182,10 @@ def test_regions_join_across_batches(spark):
 
 def test_components(spark):
     links = [(i, i + 1) for i in range(50, 90)] + [(3, 1), (2, 3), (1, 1)]
-    found = {r["id"]: r["component"] for r in dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert found == {i: 50 for i in range(50, 91)} | {1: 1, 2: 1, 3: 1}
+    for most in (dedup.LOCAL_EDGES, 10):
+        found = {r["id"]: r["component"] for r in dedup.components(spark.createDataFrame(links, "a long, b long"), most).collect()}
+        assert found == {i: 50 for i in range(50, 91)} | {1: 1, 2: 1, 3: 1}
+    assert dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_signatures_estimate_similarity():
