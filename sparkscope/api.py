@@ -17,7 +17,7 @@ from sparkscope.operators import catalog, traces
 from sparkscope.operators.grid import Grid
 from sparkscope.plans.ast import MATRIX, SCALAR, STRING, Matcher, Paren, QueryError, Range, Selector
 from sparkscope.plans.parser import parse
-from sparkscope.plans.planner import Options, Planner, TooManySamples
+from sparkscope.plans.planner import Options, Planner, TooManySamples, whole
 
 MOST_POINTS = 11_000
 _UNITS = {"ms": 0.001, "s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800, "y": 31536000}
@@ -80,7 +80,7 @@ def query_range(data: Telemetry, query: str, start: float, end: float, step: str
     node = parse(query)
     if node.type() in (MATRIX, STRING):
         raise QueryError(f"invalid expression type {node.type()!r} for a range query")
-    return _limited(Planner(data.samples, options).plan(node, Grid(int(start), int(end), max(1, int(seconds)))), limit)
+    return _limited(Planner(data.samples, options).plan(node, Grid(int(start), int(end), whole(seconds, "a step"))), limit)
 
 
 def _limited(rows: DataFrame, limit: int | None) -> DataFrame:

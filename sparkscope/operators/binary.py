@@ -19,7 +19,7 @@ def scalar_scalar(op: str, a: Column, b: Column) -> Column:
 def vector_scalar(vector: DataFrame, scalar: Column | DataFrame, op: str, swapped: bool, returns_bool: bool) -> DataFrame:
     """vector op scalar, or scalar op vector if swapped. A scalar that is a frame has one row for each step of the grid."""
     if isinstance(scalar, DataFrame):
-        vector = vector.join(F.broadcast(scalar.withColumnRenamed("value", "other")), "step_ts")
+        vector = vector.join(scalar.withColumnRenamed("value", "other"), "step_ts")
         scalar = F.col("other")
     a, b = (scalar, F.col("value")) if swapped else (F.col("value"), scalar)
     dropped = L.without(F.col("labels"), []).alias("labels")

@@ -1,8 +1,10 @@
 """Functions from the samples of a window [step - range, step] to one value: one grouped aggregation each.
 
 A sample is copied to the steps whose windows hold it and grouped by (step, series); where that would be many copies,
-markers for the steps are mixed into each series and a range frame is aggregated instead. What a function needs of a
-sample's predecessor comes from one lag over the series; the share of the window's first sample is taken off again.
+markers for the steps are mixed into each series instead. Functions of a window's first and last sample and of what is
+summed between them then look up both ends, with sums that run over the series, in time linear in samples and steps; for
+the others a range frame is aggregated. What a function needs of a sample's predecessor comes from one lag over the
+series; the share of the window's first sample is taken off again.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from sparkscope.operators.selectors import MOST_COPIES, shifted
 LAGGED = {"rate", "increase", "delta", "irate", "idelta", "changes", "resets"}
 #: Functions of what each sample has against its predecessor, and that column.
 OWN = {"rate": "reset", "increase": "reset", "changes": "changed", "resets": "dropped"}
+#: Functions of a window's ends, and what is summed between them.
+ENDS = {**OWN, "delta": None}
 _number = lambda: floats.number(F.col("value"))
 #: Results that are no plain aggregates, over a frame.
 FRAMED = {
@@ -116,6 +120,29 @@ def _with_previous(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"reset": F.when(fell, F.col("prev")).otherwise(0.0), "dropped": fell.cast("double"), "changed": (~same).cast("double")})
 
 
+def _by_ends(rows: DataFrame, name: str, seconds: int, grid: Grid) -> DataFrame:
+    """The aggregates of a function of ENDS: each step's window is found by its first sample and its last."""
+    running = Window.partitionBy("labels").orderBy("ts_nano").rowsBetween(Window.unboundedPreceding, 0)
+    between = F.sum(ENDS[name]).over(running) if ENDS[name] else F.lit(0.0)
+    point = F.struct(F.count("value").over(running).alias("n"), "value", F.col("ts").alias("at"), between.alias("between"))
+    samples = rows.select("labels", "ts", "ts_nano", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("step_ts"), point.alias("p"))
+    steps = rows.select("labels").distinct().withColumn("step_ts", F.explode(grid.all_steps()))
+    edge = F.explode(F.array(F.struct(F.lit(1).alias("kind"), F.col("step_ts").alias("ts")), F.struct(F.lit(2).alias("kind"), (F.col("step_ts") - seconds).alias("ts"))))
+    marks = steps.select("labels", "step_ts", edge.alias("m")).select("labels", "step_ts", "m.kind", "m.ts")
+    both = samples.unionByName(marks, allowMissingColumns=True)
+    # samples at a mark's own time come before it in either order
+    up = Window.partitionBy("labels").orderBy("ts", "kind", "ts_nano").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("labels").orderBy(F.desc("ts"), "kind", F.desc("ts_nano")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.select("labels", "step_ts", "kind", F.last("p", True).over(up).alias("before"), F.last("p", True).over(down).alias("behind")).where("kind > 0")
+    ends = seen.groupBy("labels", "step_ts").agg(F.max(F.when(F.col("kind") == 2, F.col("behind"))).alias("a"), F.max(F.when(F.col("kind") == 1, F.col("before"))).alias("b"))
+    ends = ends.where("a.n <= b.n")
+    between = F.col("b.between") - F.col("a.between")
+    return ends.select(
+        "labels", "step_ts", (F.col("b.n") - F.col("a.n") + 1).alias("n"), F.col("a.value").alias("first"), F.col("b.value").alias("last"), F.col("a.at").alias("t0"), F.col("b.at").alias("t1"),
+        between.alias("reset"), between.alias("out"),
+    )
+
+
 def over_time(samples: DataFrame, name: str, seconds: int, grid: Grid, params: list[float] | None = None, offset: int = 0, keep_name: bool = False) -> DataFrame:
     """The function's vector over the grid. Windows without (enough) samples give no row."""
     params = params or []
@@ -129,12 +156,13 @@ def over_time(samples: DataFrame, name: str, seconds: int, grid: Grid, params: l
         out = rows.groupBy(F.lit(grid.start).cast("bigint").alias("step_ts"), "labels").agg(*[c.alias(k) for k, c in aggs.items()])
     elif seconds // grid.step + 1 <= MOST_COPIES:
         out = rows.withColumn("step_ts", F.explode(grid.between(F.col("ts"), F.col("ts") + seconds))).groupBy("step_ts", "labels").agg(*[c.alias(k) for k, c in aggs.items()])
+    elif name in ENDS:
+        out = _by_ends(rows, name, seconds, grid)
     else:
         marks = rows.select("labels").distinct().withColumn("ts", F.explode(grid.all_steps()))
         both = rows.withColumn("mark", F.lit(False)).unionByName(marks.withColumn("mark", F.lit(True)), allowMissingColumns=True)
         frame = Window.partitionBy("labels").orderBy("ts").rangeBetween(-seconds, 0)
-        # a difference of aggregates is framed aggregate by aggregate
-        parts = {k: F.sum(OWN[name]).over(frame) - F.min_by(OWN[name], "ts_nano").over(frame) if (k in ("out", "reset") and name in OWN) else c.over(frame) for k, c in aggs.items() if k not in FRAMED.get(name, {})}
+        parts = {k: c.over(frame) for k, c in aggs.items() if k not in FRAMED.get(name, {})}
         parts |= {k: f(frame) for k, f in FRAMED.get(name, {}).items()}
         out = both.select("mark", F.col("ts").alias("step_ts"), "labels", *[c.alias(k) for k, c in parts.items()]).where("mark")
     value, there = finish(name, seconds, params)

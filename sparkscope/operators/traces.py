@@ -138,11 +138,12 @@ def assemble(spans: DataFrame) -> DataFrame:
     rows = presented(spans)
     shown = [c for c in rows.columns if c not in ("service_name", "process_tags", "start_time_unix_nano")]
     each = F.struct("start_time_unix_nano", "span_id", F.struct(*shown).alias("span"))
-    process = F.struct(F.col("process_id").alias("id"), F.col("start_time_unix_nano").alias("at"), "span_id", "service_name", F.col("process_tags").alias("tags"))
-    traces = rows.groupBy("trace_id").agg(F.array_sort(F.collect_list(each)).alias("s"), F.array_sort(F.collect_set(process)).alias("p"))
-    # sorted by id, then start: a process's first entry differs in id from the one before it
-    first = F.filter("p", lambda x, i: (i == 0) | (F.get(F.col("p"), i - 1)["id"] != x["id"]))
-    return traces.select("trace_id", F.transform("s", lambda x: x["span"]).alias("spans"), F.transform(first, lambda x: F.struct(x["id"].alias("process_id"), x["service_name"], x["tags"])).alias("processes"))
+    # one row for each process first, so that a trace gathers its processes, not each span's copy of them
+    process = F.struct("service_name", F.col("process_tags").alias("tags"))
+    first = rows.groupBy("trace_id", "process_id").agg(F.min_by(process, F.struct("start_time_unix_nano", "span_id")).alias("p"), F.collect_list(each).alias("s"))
+    entry = F.struct("process_id", "p.service_name", "p.tags")
+    traces = first.groupBy("trace_id").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("s"), F.array_sort(F.collect_list(entry)).alias("processes"))
+    return traces.select("trace_id", F.transform("s", lambda x: x["span"]).alias("spans"), "processes")
 
 
 def service_edges(spans: DataFrame) -> DataFrame:

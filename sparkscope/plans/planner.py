@@ -36,6 +36,13 @@ class TooManySamples(RuntimeError):
     """The query reads more samples than its budget."""
 
 
+def whole(seconds: float, what: str) -> int:
+    """A time in whole seconds, the resolution of samples; a fraction raises an error instead of being dropped."""
+    if seconds != int(seconds):
+        raise QueryError(f"{what} must be whole seconds, not {seconds:g}")
+    return int(seconds)
+
+
 def constant(node: Node) -> float | None:
     """Value of a scalar expression without data, folded before planning; None if it needs the step."""
     if isinstance(node, Number):
@@ -208,15 +215,15 @@ class Planner:
         key = ("instant", tuple(node.matchers), grid, node.offset, node.at)
         if key not in self._seen:
             own = self._pin(node.at, grid)
-            out = selectors.instant(selectors.matching(self.samples, node.matchers), own, self.options.lookback, int(node.offset))
+            out = selectors.instant(selectors.matching(self.samples, node.matchers), own, self.options.lookback, whole(node.offset, "an offset"))
             self._seen[key] = out if own is grid else selectors.pinned(out, grid)
         return self._seen[key]
 
     def raw(self, node: Range, at: int) -> DataFrame:
         """The samples (labels, ts, value) of a plain range selector at one time."""
         s = node.selector
-        t = self._pin(s.at, Grid(at, at)).start - int(s.offset)
-        return selectors.matching(self.samples, s.matchers).where(F.col("ts").between(t - int(node.seconds), t)).select("labels", "ts", "ts_nano", "value")
+        t = self._pin(s.at, Grid(at, at)).start - whole(s.offset, "an offset")
+        return selectors.matching(self.samples, s.matchers).where(F.col("ts").between(t - whole(node.seconds, "a range"), t)).select("labels", "ts", "ts_nano", "value")
 
     def _windows(self, node: Node, grid: Grid) -> tuple[DataFrame, int, int, Grid]:
         """Samples, range and offset of a range vector, and the grid it is evaluated on."""
@@ -224,19 +231,20 @@ class Planner:
             return self._windows(node.inner, grid)
         if isinstance(node, Range):
             s = node.selector
-            return selectors.matching(self.samples, s.matchers), int(node.seconds), int(s.offset), self._pin(s.at, grid)
+            return selectors.matching(self.samples, s.matchers), whole(node.seconds, "a range"), whole(s.offset, "an offset"), self._pin(s.at, grid)
         if isinstance(node, Subquery):
             own = self._pin(node.at, grid)
-            step = max(1, int(node.step or self.options.subquery_step))
-            first = own.start - int(node.offset) - int(node.seconds)
+            step = max(1, whole(node.step or self.options.subquery_step, "a step"))
+            seconds, offset = whole(node.seconds, "a range"), whole(node.offset, "an offset")
+            first = own.start - offset - seconds
             first = first + -first % step  # steps of a subquery are multiples of its step
-            last = own.last - int(node.offset)
+            last = own.last - offset
             if last < first:
                 first = last
             rows = self.plan_inner(node.inner, Grid(first, last, step))
             name = L.value_of(F.col("labels"), L.NAME).alias("name")
             rows = rows.select(name, "labels", F.col("step_ts").alias("ts"), (F.col("step_ts") * 1_000_000_000).alias("ts_nano"), "value")
-            return rows, int(node.seconds), int(node.offset), own
+            return rows, seconds, offset, own
         raise QueryError(f"no range vector: {node}")
 
     def plan_inner(self, node: Node, grid: Grid) -> DataFrame:

@@ -18,7 +18,8 @@ from sparkscope.sources import otlp, testdata
 
 DAY = 86400
 T0 = 1704067200
-START, END, STEP, LOOKBACK = T0 + 5 * DAY, T0 + 25 * DAY, 5 * DAY, 2 * DAY
+#: The events' thirty days: windows of a step's length cover them all.
+START, END, STEP, LOOKBACK = T0 + 2 * DAY, T0 + 30 * DAY, 2 * DAY, 2 * DAY
 HISTOGRAM_AT = 1704153600
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,13 +120,17 @@ _promql("set_unless", 'events_total unless on (event_type) event_value{user_id="
 
 # functions of vectors
 for _f, _sql in {
-    "abs": "abs(v - 100)", "ceil": "ceil(v - 100)", "floor": "floor(v - 100)", "sgn": "sign(v - 100)", "exp": "exp((v - 100) / 100)", "sqrt": "CASE WHEN v < 100 THEN 'NaN'::DOUBLE ELSE sqrt(v - 100) END",
+    "abs": "abs(v - 100)", "ceil": "ceil(v - 100) + 0.0", "floor": "floor(v - 100)", "sgn": "sign(v - 100)", "exp": "exp((v - 100) / 100)", "sqrt": "CASE WHEN v < 100 THEN 'NaN'::DOUBLE ELSE sqrt(v - 100) END",
     "ln": "CASE WHEN v < 100 THEN 'NaN'::DOUBLE WHEN v = 100 THEN '-Infinity'::DOUBLE ELSE ln(v - 100) END", "log2": "CASE WHEN v < 100 THEN 'NaN'::DOUBLE WHEN v = 100 THEN '-Infinity'::DOUBLE ELSE log2(v - 100) END",
     "log10": "CASE WHEN v < 100 THEN 'NaN'::DOUBLE WHEN v = 100 THEN '-Infinity'::DOUBLE ELSE log10(v - 100) END",
     "sin": "sin(v - 100)", "cos": "cos(v - 100)", "tan": "tan(v - 100)", "atan": "atan(v - 100)", "deg": "degrees(v - 100)", "rad": "radians(v - 100)", "tanh": "tanh((v - 100) / 100)",
+    "sinh": "sinh((v - 100) / 100)", "cosh": "cosh((v - 100) / 100)", "asinh": "asinh((v - 100) / 100)",
+    "acos": "CASE WHEN abs((v - 100) / 100) > 1 THEN 'NaN'::DOUBLE ELSE acos(greatest(-1, least(1, (v - 100) / 100))) END", "asin": "CASE WHEN abs((v - 100) / 100) > 1 THEN 'NaN'::DOUBLE ELSE asin(greatest(-1, least(1, (v - 100) / 100))) END",
+    "acosh": "CASE WHEN (v - 100) / 100 < 1 THEN 'NaN'::DOUBLE ELSE acosh(greatest(1, (v - 100) / 100)) END",
+    "atanh": "CASE WHEN abs((v - 100) / 100) > 1 THEN 'NaN'::DOUBLE WHEN v = 200 THEN 'Infinity'::DOUBLE WHEN v = 0 THEN '-Infinity'::DOUBLE ELSE atanh(greatest(-0.999999999, least(0.999999999, (v - 100) / 100))) END",
 }.items():
     _arg = "(event_value - 100) / 100" if "/ 100" in _sql else "event_value - 100"
-    _promql(f"fn_{_f}", f"{_f}({_arg})", _out(_EV_BARE, "iev", _sql), at=END)
+    _promql(f"fn_{_f}", f"{_f}({_arg})", _out(_EV_BARE, "iev", _sql))
 _promql("fn_round", "round(event_value, 5)", _out(_EV_BARE, "iev", "floor(v * 0.2 + 0.5) / 0.2"))
 _promql("fn_clamp", "clamp(event_value, 10, 50)", _out(_EV_BARE, "iev", "least(greatest(v, 10), 50)"))
 _promql("fn_clamp_min", "clamp_min(event_value, 10)", _out(_EV_BARE, "iev", "greatest(v, 10)"))
@@ -134,6 +139,7 @@ _promql("fn_timestamp", "timestamp(events_total)", _out(_TOT_BARE, "itot", "st")
 for _f, _sql in {"minute": "minute", "hour": "hour", "day_of_week": "dayofweek", "day_of_month": "day", "day_of_year": "dayofyear", "month": "month", "year": "year"}.items():
     _promql(f"fn_{_f}", f"{_f}(timestamp(events_total))", _out(_TOT_BARE, "itot", f"{_sql}(make_timestamp(st * 1000000))"))
 _promql("fn_days_in_month", "days_in_month(timestamp(events_total))", _out(_TOT_BARE, "itot", "day(last_day(make_timestamp(st * 1000000)::DATE))"))
+_promql("fn_sort", "sort(events_total)", _out(_TOT, "itot"), at=END)
 _promql("fn_sort_desc", "sort_desc(events_total)", _out(_TOT, "itot"), at=END)
 _promql("fn_label_replace", 'label_replace(events_total, "kind", "$1-x", "event_type", "(c).*")', _out("CASE WHEN et[1] = 'c' THEN '__name__=events_total,event_type=' || et || ',kind=c-x,shard=' || sh ELSE " + _TOT + " END", "itot"))
 _promql("fn_label_join", 'label_join(events_total, "both", "/", "event_type", "shard")', _out("'__name__=events_total,both=' || et || '/' || sh || ',event_type=' || et || ',shard=' || sh", "itot"))

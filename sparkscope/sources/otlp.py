@@ -106,8 +106,10 @@ def _metrics(messages: DataFrame) -> DataFrame:
 
 
 def _running(counts: Column) -> Column:
-    """Running sums of an array."""
-    return F.transform(counts, lambda _, i: F.aggregate(F.slice(counts, F.lit(1), i + 1), F.lit(0.0), lambda a, x: a + x))
+    """Running sums of an array, each from the one before."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("sums"))
+    step = lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.array_append(a["sums"], a["sum"] + x).alias("sums"))
+    return F.aggregate(counts, start, step)["sums"]
 
 
 def _numbers(column: Column) -> Column:

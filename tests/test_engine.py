@@ -227,3 +227,38 @@ def test_empty(spark):
     data = telemetry(spark, [])
     for q in ("m", "sum(m)", "rate(m[5m])", "m and m", "m / m", "topk(1, m)", "histogram_quantile(0.5, m)"):
         assert instant(data, q) == {}
+
+
+def test_windows_by_their_ends_agree_with_copies(spark, monkeypatch):
+    """Functions of a window's ends: both ways over the same samples, with resets, repeats, gaps and several samples a second."""
+    import random
+
+    from sparkscope.functions import labels as L
+    from sparkscope.operators import range_functions
+    from sparkscope.operators.grid import Grid
+
+    r = random.Random(5)
+    rows = []
+    for series in range(5):
+        t, v = 0, 0.0
+        for k in range(60):
+            t += r.choice((0, 1, 7, 30, 400))
+            v = 0.0 if r.random() < 0.1 else v + r.randint(0, 3)
+            rows.append((series, t, t * 1_000_000_000 + k, v))
+    samples = spark.createDataFrame(rows, "s long, ts long, ts_nano long, value double").selectExpr("'m' AS name", "s", "ts", "ts_nano", "value")
+    samples = samples.withColumn("labels", L.put(L.empty(), "s", samples["s"].cast("string"))).drop("s")
+    for name in range_functions.ENDS:
+        found = []
+        for most in (32, 1_000_000):
+            monkeypatch.setattr(range_functions, "MOST_COPIES", most)
+            out = range_functions.over_time(samples, name, 300, Grid(0, 4000, 5)).selectExpr("step_ts", "to_json(labels) AS l", "round(value, 9) AS v")
+            found.append(sorted(map(tuple, out.collect())))
+        assert found[0] == found[1] and len(found[0]) > 500, name
+
+
+def test_fractions_of_a_second_raise(spark):
+    from sparkscope.plans.planner import whole
+
+    assert whole(60.0, "a step") == 60
+    with pytest.raises(QueryError):
+        whole(0.5, "a step")
