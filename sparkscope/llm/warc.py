@@ -22,12 +22,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkscope.llm.common import raw_texts, slices
+from sparkscope.llm.common import materialise, raw_texts, slices
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 20, 32 << 20, 1
 #: A table of repeated payloads of at most this many rows (about 60 bytes each) is broadcast; a larger one is joined by a shuffle.
 MOST_BROADCAST = 500_000
+#: A bundle is closed at BUNDLE_BYTES stored, or at so many plain bytes or records, so that what a task holds is bounded.
+PLAIN_BYTES, RECORDS = 1 << 29, 200_000
 WRITTEN = "2024-01-01T00:00:00Z"
 
 
@@ -73,7 +75,7 @@ class BundleWriter:
         self.frames: list[bytes] = []
         self.sizes: list[tuple[int, int]] = []
         self.open: list[bytes] = []
-        self.filled = self.stored = 0
+        self.filled = self.stored = self.plain = 0
 
     def add(self, data: bytes) -> tuple[int, int, int]:
         """Frame number, offset in the frame and length of the record."""
@@ -82,6 +84,7 @@ class BundleWriter:
         place = (len(self.frames), self.filled, len(data))
         self.open.append(data)
         self.filled += len(data)
+        self.plain += len(data)
         return place
 
     def _close_frame(self) -> None:
@@ -123,25 +126,38 @@ def read_record(bundle: bytes, number: int, offset: int, length: int) -> tuple[d
 
 
 def repeated_payloads(pages: DataFrame, id_col: str, payload_col: str, least: int) -> DataFrame:
-    """(digest, response): of each payload that several rows hold, the largest id. Only digests are shuffled, pre-aggregated."""
+    """(digest, response, n): of each payload that several rows hold, the largest id, and their number. Only digests are
+    shuffled, pre-aggregated."""
     payload = F.coalesce(pages[payload_col], F.lit("")).cast("binary")
     rows = pages.select(F.unhex(F.sha1(payload)).alias("digest"), pages[id_col].alias("id"), F.length(payload).alias("n"))
-    return rows.where(F.col("n") >= least).groupBy("digest").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1").select("digest", "response")
+    return rows.where(F.col("n") >= least).groupBy("digest").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1")
 
 
-def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
+def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, bundle_bytes: int = BUNDLE_BYTES, most_broadcast: int = MOST_BROADCAST, records: int = RECORDS) -> DataFrame:
     """(bundle_id string, content binary, index array<struct<page_id, frame, offset, length>>): the bundles of all pages.
 
     Of the rows whose payloads (UTF-8, null is empty) are equal and have at least `least` bytes, those with the largest
     id are responses and the others revisit it; smaller payloads are responses. Repeated rows with that id are all
     responses. A null id never is the largest; if all are null, all are responses. The pages are not shuffled unless
-    more than MOST_BROADCAST payloads repeat. A task holds one bundle at a time; a record larger than a bundle has a
+    more than most_broadcast payloads repeat. A task holds one bundle at a time; a record larger than a bundle has a
     bundle, and a frame, of its own.
     """
-    same = repeated_payloads(pages, id_col, payload_col, least).persist()
+    same = materialise(repeated_payloads(pages, id_col, payload_col, least), "warc-repeated")
     rows = pages.select(pages[id_col].cast("long").alias("i"), pages[url_col].cast("string").alias("u"), pages[payload_col].alias("t"))
-    small = F.broadcast if same.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else (lambda x: x)
-    rows = rows.join(small(same), F.unhex(F.sha1(F.coalesce(rows["t"], F.lit("")).cast("binary"))) == same["digest"], "left").select("i", "u", "t", F.col("response").cast("long").alias("r"))
+    rows = rows.withColumn("d", F.unhex(F.sha1(F.coalesce("t", F.lit("")).cast("binary"))))
+
+    def attached(rows: DataFrame, same: DataFrame, name: str, small) -> DataFrame:
+        return rows.join(small(same.select(F.col("digest").alias("of"), F.col("response").cast("long").alias(name))), F.col("d") == F.col("of"), "left").drop("of")
+
+    repeated, total = same.select(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if repeated <= most_broadcast:
+        rows = attached(rows, same, "r", F.broadcast)
+    else:
+        # payloads so frequent that at most most_broadcast can be are broadcast; no other one is hot in the shuffle
+        often = F.col("n") > total // most_broadcast
+        rows = attached(rows, same.where(often), "often", F.broadcast)
+        rows = attached(rows.where("often is null").drop("often"), same.where(~often), "r", lambda x: x).unionByName(rows.where("often is not null").withColumnRenamed("often", "r"))
+    rows = rows.select("i", "u", "t", "r")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = pa.struct([("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())])
@@ -157,7 +173,7 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
                 data = record(i, u, t, base32(hashlib.sha1(t).digest()), r, len(t) >= least and r is not None and i != r)
                 n, offset, length = writer.add(data)
                 index.append({"page_id": i, "frame": n, "offset": offset, "length": length})
-                if writer.stored >= bundle_bytes:
+                if writer.stored >= bundle_bytes or writer.plain >= PLAIN_BYTES or len(index) >= records:
                     yield out(writer, index)
                     writer, index = BundleWriter(), []
         if index:
