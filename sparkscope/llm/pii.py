@@ -320,8 +320,10 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     A null text stays null. Columns and rows are those of docs.
     """
     columns = docs.columns
-    found = label_spans(docs, columns, text_col)
-    text = F.col(text_col)
+    # positions for names, so none can clash with the spans'
+    own = [f"own{i}" for i in range(len(columns))]
+    found = label_spans(docs.toDF(*own), own, own[columns.index(text_col)])
+    text = F.col(own[columns.index(text_col)])
     names = F.array(*map(F.lit, KINDS))
 
     def replaced(between) -> Column:
@@ -342,4 +344,5 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     few = replaced(lambda a, b: F.substring(text, a + 1, b - a))
     many = _bound(F.split(text, ""), lambda c: replaced(lambda a, b: F.array_join(F.slice(c, a + 1, b - a), "")))
     whole = F.when(F.size("spans") <= FEW, few).otherwise(many)
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, whole).otherwise(text)).select(*columns)
+    text = F.when(F.size("spans") > 0, whole).otherwise(text)
+    return found.select(*[(text if c == text_col else F.col(o)).alias(c) for c, o in zip(columns, own, strict=True)])

@@ -319,6 +319,8 @@ def test_warc(spark, tmp_path):
     assert len(found) == len(rows)
     wanted = collections.Counter((i, len((h or "").encode()), warc.base32(hashlib.sha1((h or "").encode()).digest()), "response" if i == top[h or ""] else "revisit", None if i == top[h or ""] else top[h or ""]) for i, _, h in rows)
     assert wanted == collections.Counter(map(tuple, found))
+    for kw in ({"most_broadcast": 2}, {"records": 5}):  # frequent payloads apart from the others; many small bundles
+        assert wanted == collections.Counter(map(tuple, warc.read_back(warc.archive(pages, **kw)).collect()))
     assert warc.read_back(warc.archive(pages.where("false"))).count() == 0
     assert warc.export(bundles, str(tmp_path)).count() == bundles.count() == len(list(tmp_path.glob("*.warc.zst")))
     assert warc.read_back(warc.archive(pages, least=100)).where("record_type = 'revisit'").count() == 0
@@ -428,3 +430,26 @@ def test_mix_of_one_repeated_row(spark):
     assert sum(len(r["text"].split()) for r in mixing.mixture(docs).where("doc_id IS NULL").collect()) == round(target)
     by_text = spark.createDataFrame([(None, f"w{i}", "s0") for i in range(5000)] + [(1, "x " * 9000, "s1")], "doc_id long, text string, source string")
     assert mixing.mix(by_text).where("doc_id IS NULL").agg({"taken": "sum"}).first()[0] in (round(14000 * 5 / 7), 3 * 5000)
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    p = pytest.importorskip("corpus_pipeline")
+    words = "the of and that house with for was this thing der die und ein haus".split()
+    r = random.Random(2)
+    body = [" ".join(r.choice(words) for _ in range(60)) for _ in range(6)]
+    rows = [(i, body[i % 6], "en", f"s{i % 2}", 1) for i in range(12)]
+    rows += [(20, None, "en", "s0", 0), (21, "", None, None, 0), (22, "12 -- 3", "en", "s1", 7), (None, "mail me@here.org the thing and the house", "en", None, None), (23, "the house was here " * 20000, "en", "s1", 9), (3, body[3], "en", "s1", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 AS id", "'x' AS spans", "2 AS size", "3 AS h", "true AS kept", "4 AS t", "5 AS `own0`", "6 AS k0")
+    for table in (docs, docs.where("false"), docs.withColumn("lang", docs["lang"].substr(1, 0)), docs.selectExpr("doc_id", "text", "cast(null AS string) AS lang", "source", "n_chars")):
+        now = table
+        for name, stage in p.STAGES:
+            out = stage(spark, now, "")
+            if name != "byte_bpe":
+                assert out.columns == now.columns
+            found, now = out.collect(), out
+            if name == "language_id":
+                assert table.isEmpty() or {x["doc_id"] for x in found} == {x[0] for x in rows} - {20, 21, 22}
+            if name == "near_dedup" and found:
+                assert sorted(str(x["doc_id"]) for x in found) == ["0", "1", "2", "23", "3", "4", "5", "None"]
+            if name == "personal_data" and found:
+                assert any("<EMAIL>" in x["text"] for x in found)
