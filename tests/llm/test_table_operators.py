@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkscope.llm import dedup, lm, mixing, pii, topk, warc
@@ -453,3 +454,19 @@ def test_pipeline_stages_on_odd_tables(spark):
                 assert sorted(str(x["doc_id"]) for x in found) == ["0", "1", "2", "23", "3", "4", "5", "None"]
             if name == "personal_data" and found:
                 assert any("<EMAIL>" in x["text"] for x in found)
+
+
+def test_word_hashes_tell_words_apart_as_split_does():
+    rng = random.Random(5)
+    mixed = ["".join(rng.choice("aAbB \t\n\x0b\x0c\r\x1f\xa0é") for _ in range(rng.randrange(60))) for _ in range(400)]
+    long = ["x" * lm.SHORT, "X" * lm.SHORT + "y", "x" * lm.SHORT + "Y " + "z" * 5000]
+    column = pa.array([None, "", "  ", " q", "q ", *long, *mixed, "end", None])
+    for part in (column, column.slice(2, 200), column.slice(0, 2), column.slice(0, 0)):
+        hashes, sizes = lm._hashes(part)
+        words = [(t or "").encode().lower().split() for t in part.to_pylist()]
+        assert sizes.tolist() == [len(w) + 1 for w in words]
+        tokens = [x for w in words for x in [*w, None]]
+        by_token = dict(zip(tokens, hashes.tolist(), strict=True))
+        assert [by_token[x] for x in tokens] == hashes.tolist() and len(set(by_token.values())) == len(by_token)
+        endings = {x[-2:]: by_token[x] % lm.SHARED_UNITS for x in tokens if x}
+        assert all(by_token[x] % lm.SHARED_UNITS == endings[x[-2:]] for x in tokens if x)
