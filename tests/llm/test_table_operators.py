@@ -470,3 +470,24 @@ def test_word_hashes_tell_words_apart_as_split_does():
         assert [by_token[x] for x in tokens] == hashes.tolist() and len(set(by_token.values())) == len(by_token)
         endings = {x[-2:]: by_token[x] % lm.SHARED_UNITS for x in tokens if x}
         assert all(by_token[x] % lm.SHARED_UNITS == endings[x[-2:]] for x in tokens if x)
+
+
+def test_top_k_of_clusters_and_vectors_of_differing_lengths(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([c + rng.normal(0, 0.02, (60, 8)) for c in rng.normal(0, 1, (12, 8))]).astype(np.float32)
+    rows = [(3 * i - 400, v.tolist()[: 8 - i % 3]) for i, v in enumerate(x)] + [(9001, []), (9002, [5.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    good = [(i, np.pad(np.floor(256 * np.array(v, np.float64)), (0, 8 - len(v))).astype(np.int64)) for i, v in rows]
+    found = collections.defaultdict(list)
+    for r in topk.top_k(frame, shard_rows=60, block_rows=20, leaf_rows=16).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    wanted = {q: [(i, -s) for s, i in sorted((-int(own @ v), i) for i, v in good if i != q)[:5]] for q, own in good if q % 50 == 0}
+    assert found == wanted
+
+
+def test_centres_cover_and_stay_bounded():
+    rng = np.random.default_rng(9)
+    x = np.concatenate([c + rng.normal(0, 1, (30, 4)) for c in ((0, 0, 0, 0), (500, 0, 0, 0), (0, 500, 0, 0))])
+    centres = topk._centres(x, 3)
+    assert len(centres) == 3 and np.sqrt(((x - centres[topk._nearest(x, centres)]) ** 2).sum(1)).max() < 10
+    assert len(topk._centres(np.ones((50, 4)), 8)) == 1 and len(topk._centres(x, 1)) == 1
