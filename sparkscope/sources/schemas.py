@@ -36,3 +36,6 @@ SPAN_TYPE = _Lazy(
 )
 METRIC_METADATA_TYPE = _Lazy("metric string, service_name string, type string, description string, unit string")
 SPAN_METADATA_TYPE = _Lazy("service_name string, operation_name string")
+#: What could not be taken: rows of a batch, and whole batches.
+REJECTED_TYPE = _Lazy("reason string, row string")
+DEAD_LETTER_TYPE = _Lazy("message string, error string")

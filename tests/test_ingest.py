@@ -121,3 +121,64 @@ def test_rejected(spark):
     rows = otlp.points(frame(spark, metrics_message(GAUGE, {**GAUGE, "gauge": {"dataPoints": [point()]}}), otlp.METRICS_SCHEMA))
     assert tuple(ingest.rejected(rows, "metrics").first()) == (1, 2)
     assert rows.select(L.shown(F.col("labels"))).distinct().count() == 1
+
+
+def test_rejected_rows_and_malformed_messages_are_kept(spark, tmp_path):
+    folder, store = tmp_path / "in", Store(spark, f"file://{tmp_path}/store")
+    folder.mkdir()
+    (folder / "1.json").write_text(json.dumps(metrics_message(GAUGE, {**GAUGE, "gauge": {"dataPoints": [point(), {**point(asDouble=1.0), "timeUnixNano": None}]}})) + "\n{broken\n")
+    for n in range(2):  # a replay doubles nothing
+        ingest.ingest_metrics(ingest.messages(spark, str(folder), otlp.METRICS_SCHEMA), store, f"{tmp_path}/c{n}", pause=0).awaitTermination()
+        assert store.metrics().count() == 1 and store.dead_letters().count() == 0
+        assert sorted((r["reason"], r["kind"], r["batch"]) for r in store.rejected().collect()) == [("malformed", "metrics", "default-0"), ("no time", "metrics", "default-0"), ("no value", "metrics", "default-0")]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/1.json").write_text(json.dumps(spans_message(sid="")))
+    ingest.ingest_spans(ingest.messages(spark, str(tmp_path / "t"), otlp.TRACES_SCHEMA), store, f"{tmp_path}/t0", pause=0).awaitTermination()
+    assert store.spans().count() == 0 and store.span_metadata().count() == 0
+    assert [r["reason"] for r in store.rejected().where("kind = 'spans'").collect()] == ["no span id"]
+
+
+def test_dead_letters(spark, tmp_path, monkeypatch):
+    folder, store = tmp_path / "in", Store(spark, f"file://{tmp_path}/store")
+    folder.mkdir()
+    (folder / "1.json").write_text(json.dumps(metrics_message(GAUGE)))
+    tried, write = [], Store.write_metrics
+
+    def failing(self, rows, batch=None):
+        tried.append(batch)
+        if len(tried) <= 3 or len(tried) in (5, 6):
+            raise OSError("the disk is full")
+        write(self, rows, batch)
+
+    monkeypatch.setattr(Store, "write_metrics", failing)
+    run = lambda c: ingest.ingest_metrics(ingest.messages(spark, str(folder), otlp.METRICS_SCHEMA), store, f"{tmp_path}/{c}", tries=3, pause=0).awaitTermination()
+    run("c0")  # all three tries fail: the batch is kept, the stream goes on
+    assert tried == ["default-0"] * 3 and store.metrics().count() == 0
+    (letter,) = store.dead_letters().collect()
+    assert "the disk is full" in letter["error"] and json.loads(letter["message"])["resourceMetrics"]
+    (folder / "2.json").write_text(json.dumps(metrics_message(SUM)))
+    run("c0")
+    assert store.metrics().count() == 1 and store.dead_letters().count() == 1
+    run("c1")  # a replay from the start: two tries fail, the third writes both messages and takes the letter back
+    assert len(tried) == 7 and store.dead_letters().count() == 0
+    assert store.metrics().where("batch = 'default-0'").count() == 2
+
+
+def test_two_streams_on_one_store(spark, tmp_path):
+    store, queries = Store(spark, f"file://{tmp_path}/store"), []
+    for service in ("a", "b"):
+        (tmp_path / service).mkdir()
+        for n in range(3):
+            (tmp_path / service / f"{n}.json").write_text(json.dumps(metrics_message({**GAUGE, "name": f"m{n}"}, {**GAUGE, "name": "1", "unit": ""}, service=service)))
+        stream = ingest.messages(spark, str(tmp_path / service), otlp.METRICS_SCHEMA, files_per_batch=1)
+        queries.append(ingest.ingest_metrics(stream, store, f"{tmp_path}/c-{service}", group=service, pause=0))
+    for q in queries:
+        q.awaitTermination()
+    assert store.dead_letters().count() == 0 and store.metrics().count() == 12
+    wanted = sorted((m, s) for s in "ab" for m in ("1", "m0", "m1", "m2"))
+    assert sorted((r["metric"], r["service_name"]) for r in store.metric_metadata().collect()) == wanted
+    store.compact("metric_metadata")
+    assert sorted((r["metric"], r["service_name"]) for r in store.metric_metadata().collect()) == wanted
+    assert len([p for p in (tmp_path / "store/metric_metadata").iterdir() if p.name.startswith("at=")]) == 1
+    store.upsert_metric_metadata(spark.createDataFrame([("m0", "a", "Sum", "new", "1")], ["metric", "service_name", "type", "description", "unit"]))
+    assert [r["description"] for r in store.metric_metadata().where("metric = 'm0' and service_name = 'a'").collect()] == ["new"]
