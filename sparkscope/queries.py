@@ -5,6 +5,8 @@ Metric queries return (step_ts, labels, value): labels as comma-joined name=valu
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,8 @@ from sparkscope.functions import labels as L
 from sparkscope.operators import catalog, traces
 from sparkscope.plans.planner import Options
 from sparkscope.sources import otlp, testdata
+from sparkscope.sources.store import Store
+from sparkscope.streaming import ingest
 
 DAY = 86400
 T0 = 1704067200
@@ -321,12 +325,16 @@ def _red_metrics(spark, sf_dir):
 
 
 # normalisation of OpenTelemetry messages, written as JSON texts from the events
-def _messages(spark, sf_dir, data: str, *columns) -> DataFrame:
-    """One message for each event: data is the metric's JSON with %s for the columns."""
+def _texts(spark, sf_dir, data: str, *columns) -> DataFrame:
+    """(value) the text of one message for each event: data is the metric's JSON with %s for the columns."""
     head = '{"resourceMetrics":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"shop"}}]},"scopeMetrics":[{"metrics":['
     e = testdata.read(spark, sf_dir, "events").withColumn("nano", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("string"))
     text = F.format_string(head.replace("%", "%%") + data + "]}]}]}", *columns)
-    return e.select(F.from_json(text, otlp.METRICS_SCHEMA).alias("m")).select("m.*")
+    return e.select(text.alias("value"))
+
+
+def _messages(spark, sf_dir, data: str, *columns) -> DataFrame:
+    return _texts(spark, sf_dir, data, *columns).select(F.from_json("value", otlp.METRICS_SCHEMA).alias("m")).select("m.*")
 
 
 def _normalised(rows: DataFrame) -> DataFrame:
@@ -381,12 +389,66 @@ def _otlp_metadata(spark, sf_dir):
     return otlp.metric_metadata(rows).select("metric", "service_name", "type", "unit").distinct()
 
 
-@_query("otlp_spans", "SELECT lower(printf('%016x', event_id + 1)) AS trace_id, lower(printf('%016x', event_id)) AS span_id, event_type AS span_name, epoch_us(ts) * 1000 AS start_time_unix_nano, 5000::BIGINT AS duration_nanoseconds, 'shop' AS service_name, 'True' AS flag FROM events")
-def _otlp_spans(spark, sf_dir):
+_EVENT_SPANS = "SELECT lower(printf('%016x', event_id + 1)) AS trace_id, lower(printf('%016x', event_id)) AS span_id, event_type AS span_name, epoch_us(ts) * 1000 AS start_time_unix_nano, 5000::BIGINT AS duration_nanoseconds, 'shop' AS service_name, 'True' AS flag FROM events"
+
+
+def _event_spans(spark, sf_dir) -> DataFrame:
     text = '{"resourceSpans":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"shop"}}]},"scopeSpans":[{"spans":[{"traceId":"%032X","spanId":"%016X","name":"%s","kind":2,"startTimeUnixNano":"%s","endTimeUnixNano":"%s","attributes":[{"key":"ok","value":{"boolValue":true}}]}]}]}]}'
     e = testdata.read(spark, sf_dir, "events").withColumn("nano", F.unix_micros(F.col("ts").cast("timestamp")) * 1000)
     rows = e.select(F.from_json(F.format_string(text, F.col("event_id") + 1, "event_id", "event_type", F.col("nano").cast("string"), (F.col("nano") + 5000).cast("string")), otlp.TRACES_SCHEMA).alias("m")).select("m.*")
-    return otlp.spans(rows).select("trace_id", "span_id", "span_name", "start_time_unix_nano", "duration_nanoseconds", F.col("resource.service_name").alias("service_name"), F.col("attributes")[0]["value"].alias("flag"))
+    return otlp.spans(rows)
+
+
+def _flat(spans: DataFrame) -> DataFrame:
+    return spans.select("trace_id", "span_id", "span_name", "start_time_unix_nano", "duration_nanoseconds", F.col("resource.service_name").alias("service_name"), F.col("attributes")[0]["value"].alias("flag"))
+
+
+@_query("otlp_spans", _EVENT_SPANS)
+def _otlp_spans(spark, sf_dir):
+    return _flat(_event_spans(spark, sf_dir))
+
+
+# the store and continuous ingest, in a folder that goes when the application ends
+def _folder(spark: SparkSession) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.gettempdir()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{found.rstrip('/')}/sparkscope-store-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)  # only what is there can be marked
+    files.deleteOnExit(path)
+    return str(path)
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> Store:
+    """A store that has taken in a gauge of every event as files of messages; every seventh has no value."""
+    root = _folder(spark)
+    value = F.when(F.col("event_id") % 7 != 0, F.col("value").cast("string")).otherwise("null")
+    texts = _texts(spark, sf_dir, '{"name":"event.value","unit":"ms","gauge":{"dataPoints":[{' + _POINT + ',"asDouble":%s}]}}', *_KEYS, value)
+    texts.repartition(4).write.text(f"{root}/in")
+    store = Store(spark, f"{root}/store")
+    ingest.ingest_metrics(ingest.messages(spark, f"{root}/in", otlp.METRICS_SCHEMA), store, f"{root}/progress").awaitTermination()
+    return store
+
+
+@_query("stream_ingest", "SELECT " + _labels_sql("event_value_milliseconds") + " AS labels, epoch_us(ts) * 1000 AS ts_nano, round(value::DOUBLE, 6) AS value FROM events WHERE event_id % 7 <> 0")
+def _stream_ingest(spark, sf_dir):
+    return _streamed(spark, sf_dir).metrics().select(L.shown(F.col("labels")).alias("labels"), "ts_nano", F.round("value", 6).alias("value"))
+
+
+@_query("stream_rejected", "SELECT 'no value' AS reason, epoch_us(ts) * 1000 AS ts_nano FROM events WHERE event_id % 7 = 0")
+def _stream_rejected(spark, sf_dir):
+    return _streamed(spark, sf_dir).rejected().select("reason", F.get_json_object("row", "$.ts_nano").cast("bigint").alias("ts_nano"))
+
+
+@_query("store_spans", _EVENT_SPANS)
+def _store_spans(spark, sf_dir):
+    store, spans = Store(spark, _folder(spark)), _event_spans(spark, sf_dir)
+    for _ in range(2):  # the second try of a batch replaces the first
+        store.write_spans(spans, "batch")
+    return _flat(store.spans())
 
 
 #: The flagship: request rate of each event type.

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-SOME = ["flagship", "selector_fine_grid", "agg_sum_by", "topk_by", "vv_group_left", "set_or", "fn_increase_fine", "fn_quantile_over_time", "fn_histogram_quantile", "subquery", "find_whole_traces", "topology", "otlp_exphistogram", "label_names_match"]
+SOME = ["flagship", "selector_fine_grid", "agg_sum_by", "topk_by", "vv_group_left", "set_or", "fn_increase_fine", "fn_quantile_over_time", "fn_histogram_quantile", "subquery", "find_whole_traces", "topology", "otlp_exphistogram", "label_names_match", "otlp_spans", "stream_ingest", "stream_rejected", "store_spans"]
 
 
 def rows(frame):
