@@ -42,7 +42,7 @@ TASK_ROWS, TASK_SHINGLES = 256, 1_000_000
 LOCAL_EDGES = 200_000
 #: Sets of one salt of a shingle's list, on average; and parts that any shingle's list is dealt into before it is sized.
 MOST_LISTED, DEALT = 250, 16
-#: Ids up to so many (8 bytes each) are broadcast to pick texts; more are joined by a shuffle.
+#: Ids up to so many (32 bytes each with what is told of them) are broadcast to pick texts; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
 _rng = np.random.default_rng(20240101)
@@ -331,6 +331,10 @@ def _crossing(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     Two sets that are similar enough share one of the first n - ceil(n * percent / 100) + 1 shingles of each, all sets in
     one order, here the rarest first. Of a shingle's sets, those outside its largest group are held against all others,
     so a crowd that is one group already costs nothing. Long lists are salted, none is cut.
+
+    Of the two sets, the one whose prefix ends first shares with the other's whole set no more of its prefix than both
+    prefixes share, so they have at most those and the rest of that set, ceil(n * percent / 100) - 1, in common. Pairs for
+    which that is too little go; so a few shingles in common, as any two texts of a crowd may have, make no candidates.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +358,10 @@ def _crossing(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     few = rows.where("g <> top").select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("g").alias("gx"), "h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     every = rows.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy"), (F.col("g") == F.col("top")).alias("top"), "h", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"))
     likely = (F.col("gx") != F.col("gy")) & (F.col("top") | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    return few.join(every, ["h", "salt"]).where(likely).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # each shingle that both prefixes hold gives one row of the pair
+    pairs = few.join(every, ["h", "salt"]).where(likely).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = pairs.agg(F.count("*").alias("m"), F.first(F.col("nx") + F.col("ny")).alias("both"), F.first(F.greatest("nx", "ny")).alias("n"))
+    return pairs.where((F.col("m") + least - 1) * (100 + percent) >= percent * F.col("both")).select("a", "b")
 
 
 def _large_components(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -398,13 +405,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     sized = placed.groupBy(F.col("component").alias("tentative")).agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.max("crowded").alias("any"))
     fits = (F.col("shingles") <= TASK_SHINGLES) & (F.col("members") <= task_rows) & ~F.col("any")
     places = materialise(placed.join(sized, F.col("component") == F.col("tentative")).select("id", "doc", "tentative", fits.alias("fits")), "places")
-    sets = materialise(_shingle_sets(docs, places.select("doc"), id_col, text_col, width), "sets")
-    found = _searched(sets.join(places.where("fits").select("id", "tentative"), "id"), percent)
+    sets = materialise(_shingle_sets(docs, places, id_col, text_col, width), "sets")
+    found = _searched(sets.where("fits").select("tentative", "id", "s"), percent)
     large = places.where(~F.col("fits")).select("id")
     if large.limit(1).count():
         inside = near.join(large.select(F.col("id").alias("a")), "a")
         inside = inside if nearest is None else inside.unionByName(nearest)
-        found = found.unionByName(_large_components(inside, sets.join(large, "id", "left_semi"), percent))
+        found = found.unionByName(_large_components(inside, sets.where(~F.col("fits")).select("id", "s"), percent))
     found = materialise(found.distinct(), "components")
     for table in (near, crowd, placed, places, sets):
         release(table)
@@ -415,15 +422,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, s binary): class and sorted full set of each text whose document is listed (doc), from its text read again."""
+def _shingle_sets(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, tentative, fits, s binary): the places (id, doc, tentative, fits) of classes, each with its sorted full set, from
+    the text of its document read again. An id may be several documents' and so several classes'; each has its own set."""
     rows = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("t"))
-    small = F.broadcast if ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else (lambda x: x)
+    small = F.broadcast if places.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else (lambda x: x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
-            found = [s.tobytes() for t in raw_texts(batch.column("t")) if len(s := shingle_set(t, width, _memo()))]
-            ids_found = [int.from_bytes(xxhash.xxh3_128_digest(s)[:8], "little", signed=True) for s in found]
-            yield pa.RecordBatch.from_arrays([pa.array(ids_found, pa.int64()), pa.array(found, pa.binary())], ["id", "s"])
+            found = [shingle_set(t, width, _memo()).tobytes() for t in raw_texts(batch.column("t"))]
+            own = [bool(s) and int.from_bytes(xxhash.xxh3_128_digest(s)[:8], "little", signed=True) == i for s, i in zip(found, batch.column("id").to_pylist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tentative"), batch.column("fits"), pa.array(found, pa.binary())], ["id", "tentative", "fits", "s"])
+            yield out.filter(pa.array(own, pa.bool_()))
 
-    return rows.join(small(ids), "doc", "left_semi").mapInArrow(run, "id long, s binary")
+    met = rows.join(small(places), "doc").select("id", "tentative", "fits", "t")
+    return met.mapInArrow(run, "id long, tentative long, fits boolean, s binary")

@@ -149,6 +149,27 @@ def test_large_components_need_no_candidates(spark):
     assert found == {i: 1 for i in range(1, 6)}
 
 
+def test_few_shared_shingles_make_no_candidates(spark):
+    r = random.Random(5)
+    sets = {}
+    for i in range(60):
+        if i % 4:
+            other = sorted(sets[r.choice(list(sets))])
+            s = set(r.sample(other, len(other) - r.randint(0, 12))) | {r.randrange(10**6, 10**7) for _ in range(r.randint(0, 12))}
+        else:
+            s = {r.randrange(10**6, 10**7) for _ in range(r.randint(5, 90))}
+        sets[i] = s | {i % 7}
+    rows = spark.createDataFrame([(i, bytearray(np.array(sorted(s), np.uint64).tobytes())) for i, s in sets.items()], "id long, s binary")
+    none = spark.createDataFrame([], "id long, component long")
+    found = {(x["a"], x["b"]) for x in dedup._crossing(rows, none, 80).collect()}
+    both = lambda a, b: len(sets[a] & sets[b])
+    similar = {(a, b) for a in sets for b in sets if a < b and 100 * both(a, b) >= 80 * len(sets[a] | sets[b])}
+    assert len(similar) > 10 and similar <= found
+    sets = {i: set(range(100 * i, 100 * i + 50)) | {7 * 10**6 + i // 2} for i in range(1, 40)}
+    rows = spark.createDataFrame([(i, bytearray(np.array(sorted(s), np.uint64).tobytes())) for i, s in sets.items()], "id long, s binary")
+    assert dedup._crossing(rows, none, 80).count() == 0
+
+
 def test_a_crowd_over_many_partitions(spark):
     """One template, filled in by hand: its rows agree in many first values, and are far more than a region or a task takes."""
     r = random.Random(21)
