@@ -9,10 +9,10 @@ grouped by frequency into classes; P(unit) is P(class) P(unit | class), and each
 with output vectors plus biases, normalised exactly over few terms. A word of a shared unit has, within it, its smoothed
 share of the unit's training count.
 
-Every training text's unit triples are counted in shards of texts. A shard's task takes noise-contrastive gradients over
-triples drawn from all that it counted, each as likely as its count, one for every TOKENS_A_DRAW training tokens, so steps
-grow with the corpus; few tokens are drawn more often, see LEAST_STEPS. Shards start from the same parameters, and theirs are averaged, in
-a few rounds. The
+Every training text's unit triples are counted, in shards by their contexts, so that a triple's whole count is in one
+shard. A shard's task takes noise-contrastive gradients over all of its triples, each weighted by its count: a pass takes
+every training token once, none is drawn or left out. Few tokens are passed more often, see LEAST_STEPS. Shards start from the same
+parameters, and theirs are averaged, in a few rounds. The
 log-probability of a word outside the most frequent ones needs its count, which is joined: no vocabulary of unbounded size
 is broadcast.
 """
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscope.llm.common import give_back, materialise, raw_texts, release, slices
+from sparkscope.llm.common import give_back, materialise, release, slices
 
 #: Units: end, begin, those that rare words share, then words of their own.
 END_UNIT, BEGIN_UNIT, SHARED_UNITS = 0, 1, 256
@@ -42,9 +42,9 @@ ROOT_SHARE = 16
 DIMENSIONS = 24
 #: Noise classes of a batch of triples, and noise words of each class in it.
 NOISE_CLASSES, NOISE_WORDS = 64, 16
-#: Triples of a training step, training tokens for each triple that is drawn, and steps at least of a shard where there are
-#: eight; of more shards each takes at least its part of as many.
-BATCH, TOKENS_A_DRAW, LEAST_STEPS = 4096, 6, 64
+#: Rows of a training step, training tokens that a row stands for at most, and steps at least of a shard where there are
+#: eight; of more shards each takes at least its part of as many. A triple of count n has ceil(n / TOKENS_A_DRAW) rows or more.
+BATCH, TOKENS_A_DRAW, LEAST_STEPS = 16384, 6, 32
 #: Shards of each round of training, by the shard's number modulo 8.
 ROUNDS = ((0,), (1, 2, 3), (4, 5, 6, 7))
 #: Counts of so many words (16 bytes each) go to every task; the counts of all others are joined.
@@ -208,7 +208,7 @@ def _contexts(units: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def triple_counts(docs: DataFrame, text_col: str, vocabulary, shards: int) -> DataFrame:
-    """(shard int, cells binary, n binary): counts of unit triples, in pieces; a shard is that of a text's hash.
+    """(shard int, cells binary, n binary): counts of unit triples, in pieces; a shard is that of a hash of their context.
 
     A piece's cells rise; what is stored is how far each lies behind the one before, which compresses.
     """
@@ -227,15 +227,16 @@ def triple_counts(docs: DataFrame, text_col: str, vocabulary, shards: int) -> Da
                     parts.clear()
 
         for batch in slices(batches, "t", BATCH_BYTES):
-            texts = raw_texts(batch.column("t"))
             h, sizes = _hashes(batch.column("t"))
             if not len(h):
                 continue
             w = v.units(h, *v.find(h))
             two, one = _contexts(w, sizes)
-            shard = np.repeat(np.fromiter((xxhash.xxh3_64_intdigest(t) % shards for t in texts), np.int64, len(texts)), sizes)
+            context = two * u + one
+            mixed = context.view(np.uint64) * SPREAD
+            shard = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
-            cells = ((two * u + one) * u + w)[order]
+            cells = (context * u + w)[order]
             ends = np.searchsorted(shard[order], np.arange(shards + 1))
             for k in np.flatnonzero(np.diff(ends)):
                 held[k].append(cells[ends[k] : ends[k + 1]].copy())
@@ -271,12 +272,19 @@ class Model:
         self.share = base / mass[self.of]  # of a unit in its class
         log = lambda x: np.log(np.maximum(x, 1e-30)).astype(np.float32)
         self.log_class, self.log_share = log(self.class_share), log(self.share)
+        self.summed: dict[int, np.ndarray] = {}
         d = DIMENSIONS
         self.p = {
             "r": rng.normal(0, 0.3, (units, d)).astype(np.float32), "c": np.ones((2, d), np.float32),
             "qc": np.zeros((classes, d), np.float32), "bc": self.log_class[:, None].copy(), "q": np.zeros((units, d), np.float32), "b": self.log_share[:, None].copy(),
         }
 
+    def _summed_share(self, c: int) -> np.ndarray:
+        """Running sums of the shares of the units of class c."""
+        if c not in self.summed:
+            self.summed[c] = np.cumsum(self.share[self.low[c] : self.high[c]])
+        return self.summed[c]
+
     def context(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         return self.p["c"][0] * self.p["r"][u] + self.p["c"][1] * self.p["r"][v]
 
@@ -309,19 +317,20 @@ class Model:
         return out
 
     def train(self, cells: np.ndarray, n: np.ndarray, seed: int, least: int = LEAST_STEPS, rate: float = 0.1) -> None:
-        """Noise-contrastive steps, at least so many, over cells drawn by their counts."""
+        """Noise-contrastive steps, at least so many, over distinct cells and their counts n: every cell has rows, which
+        share its count, and every row is in one step."""
         rng, units = np.random.default_rng(seed), len(self.of)
-        total = int(n.sum())
-        steps = max(least, total // (TOKENS_A_DRAW * BATCH))
-        each = total / (steps * BATCH)  # counts that a drawn row stands for
         squares = {name: np.full_like(x, 1e-6) for name, x in self.p.items()}
-        ends = np.cumsum(n)
-        places = np.minimum(((np.arange(steps * BATCH) + rng.random()) * each).astype(np.int64), total - 1)
-        drawn = rng.permutation(cells[np.searchsorted(ends, places, "right")])
-        weight = np.ones(BATCH, np.float32)
-        for step in range(steps):
-            t = drawn[step * BATCH : (step + 1) * BATCH]
-            self._step(t // (units * units), t // units % units, t % units, weight, rng, squares, rate * (1 - step / (steps + 1)))
+        rows = -(-n.astype(np.int64) // TOKENS_A_DRAW)
+        more = least * BATCH - int(rows.sum())
+        if more > 0:
+            rows += np.diff((np.cumsum(n / n.sum()) * more).round().astype(np.int64), prepend=0)
+        share = (n / rows).astype(np.float32)
+        steps = max(least, int(rows.sum()) // BATCH)
+        at = rng.permutation(np.repeat(np.arange(len(cells)), rows))
+        for step, part in enumerate(np.array_split(at, steps)):
+            t = cells[part]
+            self._step(t // (units * units), t // units % units, t % units, share[part], rng, squares, rate * (1 - step / (steps + 1)))
 
     def _step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, weight: np.ndarray, rng: np.random.Generator, squares: dict, rate: float) -> None:
         p = self.p
@@ -335,7 +344,7 @@ class Model:
         at, gq, gb = [], [], []
         for c, rows in _groups(k, self.high - self.low > 1):
             low, high = self.low[c], self.high[c]
-            drawn = low + np.searchsorted(np.cumsum(self.share[low:high]), rng.random(NOISE_WORDS)).clip(0, high - low - 1)
+            drawn = low + np.searchsorted(self._summed_share(c), rng.random(NOISE_WORDS)).clip(0, high - low - 1)
             xs, t = x[rows], w[rows]
             own, other = _contrast(xs, p["q"], p["b"], t, drawn, self.log_share, weight[rows])
             gx[rows] += own[:, None] * p["q"][t] + other @ p["q"][drawn]
@@ -384,6 +393,15 @@ def _groups(k: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray
         yield c, order[ends[c] : ends[c + 1]]
 
 
+def _merged(cells: tuple[np.ndarray, ...], n: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct cells of all pieces, rising, and the sums of their counts."""
+    cells, n = np.concatenate(cells), np.concatenate(n)
+    order = np.argsort(cells, kind="stable")
+    cells, n = cells[order], n[order]
+    first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+    return cells[first], np.add.reduceat(n, first, dtype=np.int64)
+
+
 def fit(spark: SparkSession, pieces: DataFrame, model: Model, shards: int) -> Model:
     """The model trained on the pieces of all shards, each shard once; the parameters of a round's shards are averaged."""
     least = math.ceil(8 * LEAST_STEPS / shards)
@@ -392,10 +410,9 @@ def fit(spark: SparkSession, pieces: DataFrame, model: Model, shards: int) -> Mo
 
         def run(table: pa.Table) -> pa.Table:
             shard = table.column("shard")[0].as_py()
-            # a cell of several pieces is drawn by each one's count; pieces arrive in any order
+            # pieces arrive in any order; their sums do not depend on it
             parts = [(np.cumsum(np.frombuffer(c.as_buffer(), np.int64)), np.frombuffer(m.as_buffer(), np.int32)) for c, m in zip(table.column("cells"), table.column("n"), strict=True)]
-            parts.sort(key=lambda x: (len(x[0]), x[0][:64].tobytes(), x[1][:256].tobytes()))
-            cells, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            cells, n = _merged(*zip(*parts, strict=True))
             del table, parts
             own = copy.deepcopy(start.value)  # noqa: B023
             own.train(cells, n, shard, least)

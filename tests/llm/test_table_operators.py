@@ -417,6 +417,28 @@ def test_training_draws_triples_by_their_counts(monkeypatch):
     assert len(steps) == n.sum() * 100 // (lm.TOKENS_A_DRAW * lm.BATCH)
 
 
+def test_training_takes_every_token_once(monkeypatch):
+    seen = {}
+    units = lm.FIRST_WORD + 300
+    cells = np.random.default_rng(1).choice(units**3, 700_000, replace=False)
+    n = np.where(np.arange(len(cells)) % 1000, 1, 5000)
+
+    def step(self, u, v, w, weight, *_):
+        for k in (0, len(u) - 1):
+            assert weight[k] <= lm.TOKENS_A_DRAW
+        seen.setdefault("cells", []).append((u * units + v) * units + w)
+        seen.setdefault("weights", []).append(weight)
+
+    monkeypatch.setattr(lm.Model, "_step", step)
+    lm.Model(np.ones(units)).train(cells, n, 1)
+    found, at = np.unique(np.concatenate(seen["cells"]), return_inverse=True)
+    assert len(found) == len(cells)
+    assert np.allclose(np.bincount(at, np.concatenate(seen["weights"])), n[np.argsort(cells)], rtol=1e-4)
+    pieces = [np.sort(x) for x in np.array_split(np.concatenate([cells[:1000], cells[:500]]), 4)]
+    merged, sums = lm._merged(tuple(pieces), tuple(np.ones(len(x), np.int32) for x in pieces))
+    assert (merged == np.sort(cells[:1000])).all() and sums.sum() == 1500 and sums.max() == 2
+
+
 def test_pipeline(spark):
     pytest.importorskip("corpus_pipeline")
     import os
