@@ -44,7 +44,7 @@ DIMENSIONS = 24
 NOISE_CLASSES, NOISE_WORDS = 64, 16
 #: Rows of a training step, training tokens that a row stands for at most, and steps at least of a shard where there are
 #: eight; of more shards each takes at least its part of as many. A triple of count n has ceil(n / TOKENS_A_DRAW) rows or more.
-BATCH, TOKENS_A_DRAW, LEAST_STEPS = 16384, 6, 32
+BATCH, TOKENS_A_DRAW, LEAST_STEPS = 16384, 6, 64
 #: Shards of each round of training, by the shard's number modulo 8.
 ROUNDS = ((0,), (1, 2, 3), (4, 5, 6, 7))
 #: Counts of so many words (16 bytes each) go to every task; the counts of all others are joined.
