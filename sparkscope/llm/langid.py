@@ -9,21 +9,22 @@ ambiguous where the second codeword is hardly worse.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkscope.llm.common import per_process, slices, texts
+from sparkscope.llm.common import give_back, per_process, slices, texts
 
 DIMENSIONS = 1 << 12
 UNDETERMINED = "und"
 #: Bounds of the fit: labelled texts that are drawn of each language, and of all together; every language gets LEAST_DRAWN.
 SAMPLE_PER_LANGUAGE, SAMPLE_ROWS, LEAST_DRAWN = 500, 30_000, 20
 #: Rows whose features are held as 32-bit numbers at once.
-FIT_BLOCK = 4096
+FIT_BLOCK = 512
 
 #: ASCII that is no letter becomes a space, before n-grams are taken.
 _TABLE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -131,30 +132,55 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     drawn = F.pmod(F.xxhash64("i", "t", F.lit(11)), F.lit(1 << 40)).cast("double") / float(1 << 40)
     # somewhat more than wanted by the hash, so that few texts go on, then the first of them
     shares = docs.sparkSession.createDataFrame([(lang, min(1.0, (most + 4 * most**0.5 + 8) / n)) for lang, n in sizes], "of string, share double")
-    sample = labelled.join(F.broadcast(shares), F.col("l") == F.col("of")).where(drawn < F.col("share")).select("l", "t", drawn.alias("u")).dropDuplicates(["l", "u"])
+    sample = labelled.join(F.broadcast(shares), F.col("l") == F.col("of")).where(drawn < F.col("share")).select("l", "t", drawn.alias("u"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in slices(batches, "t"):
-            kept = [(lang, x.astype(np.float16).tobytes(), u) for lang, t, u in zip(batch.column("l").to_pylist(), texts(batch.column("t")), batch.column("u").to_pylist(), strict=True) if has_letter(t) and (x := features(t)) is not None]
+            kept = []
+            for lang, t, u in zip(batch.column("l").to_pylist(), texts(batch.column("t")), batch.column("u").to_pylist(), strict=True):
+                if (lang, u) not in seen:
+                    seen.add((lang, u))
+                    if has_letter(t) and (x := features(t)) is not None:
+                        kept.append((lang, x.astype(np.float16).tobytes(), u))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.string()), pa.array([k[1] for k in kept], pa.binary()), pa.array([k[2] for k in kept], pa.float64())], ["l", "x", "u"])
 
-    order = Window.partitionBy("l").orderBy("u", "x")
-    rows = sample.mapInArrow(run, "l string, x binary, u double").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
-    rows = rows.select("l", "place", "x").toArrow().sort_by([("place", "ascending"), ("l", "ascending")])
-    languages = sorted({x for x in rows.column("l").to_pylist()})
-    if not languages:
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit_drawn(((v.to_pylist() for v in (batch.column("l"), batch.column("u"), batch.column("x"))) for batch in batches), most)
+        give_back()
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # one task fits, so that the driver holds the model only, not the sample
+    found = sample.mapInArrow(described, "l string, x binary, u double").repartition(1).mapInArrow(fitted, "model binary").collect()
+    if not found:
         return None
-    number = {x: i for i, x in enumerate(languages)}
-    y = np.array([number[v] for v in rows.column("l").to_pylist()])
-    x = np.empty((len(y), DIMENSIONS), np.float16)
-    for i, v in enumerate(rows.column("x")):
-        x[i] = np.frombuffer(v.as_buffer(), np.float16)
-    del rows
-    model = fit(x, y, languages)
+    model = pickle.loads(found[0]["model"])
     model["key"] = hashlib.sha256(model["w"].tobytes()).hexdigest()
     return model
 
 
+def fit_drawn(batches: Iterable[Iterable[list]], most: int) -> dict | None:
+    """fit() over batches of (languages, places in the draw, features as bytes): of each language the first `most` rows, one a
+    place. The order in which rows come does not matter. None if there are none."""
+    drawn: dict[str, dict[float, bytes]] = {}
+    for batch in batches:
+        for lang, u, v in zip(*batch, strict=True):
+            own = drawn.setdefault(lang, {})
+            own[u] = min(v, own.get(u, v))
+            if len(own) >= 2 * most:
+                drawn[lang] = {k: own[k] for k in sorted(own)[:most]}
+    if not drawn:
+        return None
+    languages = sorted(drawn)
+    rows = sorted((place, y, u) for y, lang in enumerate(languages) for place, u in enumerate(sorted(drawn[lang])[:most]))
+    x = np.empty((len(rows), DIMENSIONS), np.float16)
+    for i, (_, y, u) in enumerate(rows):
+        x[i] = np.frombuffer(drawn[languages[y]].pop(u), np.float16)
+    drawn.clear()
+    return fit(x, np.array([y for _, y, _ in rows]), languages)
+
+
 def predict(docs: DataFrame, model: dict | None, keep: list[str], text_col: str = "text", ambiguous_below: float = 0.05) -> DataFrame:
     """Columns keep of docs, then lang_pred, score and ambiguous, of every row. No shuffle.
 

@@ -4,6 +4,7 @@ import array
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -197,6 +198,34 @@ def test_every_language_is_learned(spark):
     assert len({r["lang_pred"] for r in found}) > 220
 
 
+def test_language_sample_stays_off_the_driver(spark):
+    docs = language_docs(spark, 900)
+    tracemalloc.start()
+    try:
+        model = langid.learn(docs)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # 900 rows of features are 7 MB, the model 0.1 MB
+    assert most < 900 * 2 * langid.DIMENSIONS / 4
+    assert model["languages"] == sorted(WORDS) and model["w"].shape[0] == langid.DIMENSIONS
+    assert langid.learn(docs.unionByName(docs).repartition(7))["key"] == model["key"]
+
+
+def test_language_sample_is_the_first_of_each_language(monkeypatch):
+    r = random.Random(5)
+    rows = [(lang, r.random(), np.full(langid.DIMENSIONS, i, np.float16).tobytes()) for i, lang in enumerate("aaaaaaaaaaaaaaaaaaaabbbbbbbc")]
+    monkeypatch.setattr(langid, "fit", lambda x, y, languages: (x[:, 0].tolist(), y.tolist(), languages))
+    first = [sorted((x for x in rows if x[0] == lang), key=lambda x: x[1])[:3] for lang in "abc"]
+    wanted = [(own[k], y) for k in range(3) for y, own in enumerate(first) if k < len(own)]
+    for size in (1, 5, 100):
+        again = r.sample(rows, len(rows)) + rows[:9]
+        x, y, languages = langid.fit_drawn((zip(*again[i : i + size], strict=True) for i in range(0, len(again), size)), 3)
+        assert languages == ["a", "b", "c"] and y == [y for _, y in wanted]
+        assert x == [float(rows.index(row)) for row, _ in wanted]
+    assert langid.fit_drawn(iter([]), 3) is None
+
+
 def test_ambiguity_is_flagged():
     model = {"languages": ["a", "b"], "codes": np.array([[1], [-1]], np.int8), "reliable": np.ones(1, np.float32)}
     best, score, margin = langid.decode(model, np.array([[0.001], [5.0], [-5.0]], np.float32))
