@@ -132,6 +132,15 @@ def per_process(key, make: Callable):
     return _kept[key]
 
 
+def hold_pages(most: int = 8 << 20) -> None:
+    """Let this process keep freed memory in its heap, up to four times most, and take arrays of up to most from there: fresh
+    pages for each short-lived array cost more than what is computed in it. give_back() returns them."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, most)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 4 * most)  # M_TRIM_THRESHOLD
+
+
 def give_back() -> None:
     """Return freed memory to the operating system, as far as the allocators let it."""
     gc.collect()

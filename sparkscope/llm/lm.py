@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscope.llm.common import give_back, materialise, release, slices
+from sparkscope.llm.common import give_back, hold_pages, materialise, release, slices
 
 #: Units: end, begin, those that rare words share, then words of their own.
 END_UNIT, BEGIN_UNIT, SHARED_UNITS = 0, 1, 256
@@ -63,11 +63,14 @@ def _digest(word: bytes) -> int:
 
 
 #: A word of up to SHORT bytes hashes to the sum of its bytes' values, each times a power by its place; longer ones by xxhash.
-SHORT, WORDS_AT_ONCE = 256, 1 << 14
+#: So many bytes are hashed at once, or the words that begin in them.
+SHORT, BYTES_AT_ONCE = 256, 1 << 16
 IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 VALUES = np.array([_digest(bytes([b])) for b in LOWER], np.uint64)
-POWERS = np.multiply.accumulate(np.array([1] + [_digest(b"power") | 1] * (SHORT - 1), np.uint64))
+POWER = _digest(b"power") | 1
+POWERS = np.multiply.accumulate(np.array([1] + [POWER] * (BYTES_AT_ONCE + SHORT), np.uint64))
+BACK = np.multiply.accumulate(np.array([1] + [pow(POWER, -1, 1 << 64)] * BYTES_AT_ONCE, np.uint64))
 SPREAD = np.uint64(_digest(b"spread") | 1)
 
 
@@ -80,19 +83,27 @@ def _endings() -> np.ndarray:
 
 def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The hash of each word data[start:end], A-Z as a-z; its lowest bits are those of its ending, so that words which share
-    a unit are alike in form."""
+    a unit are alike in form.
+
+    Powers count from the first byte of a stretch: a word's sum is the difference of two running sums, exact modulo 2**64,
+    taken back to the word's own first byte.
+    """
     out = np.empty(len(starts), np.uint64)
-    for i in range(0, len(starts), WORDS_AT_ONCE):
-        s, e = starts[i : i + WORDS_AT_ONCE], ends[i : i + WORDS_AT_ONCE]
-        size = np.minimum(e - s, SHORT)
-        first = np.cumsum(size) - size
-        place = np.arange(size.sum()) - np.repeat(first, size)
-        h = np.add.reduceat(VALUES[data[np.repeat(s, size) + place]] * POWERS[place], first)
+    i = 0
+    while i < len(starts):
+        low = starts[i]
+        j = int(np.searchsorted(starts, low + BYTES_AT_ONCE))
+        s, e = starts[i:j], ends[i:j]
+        high = min(e[-1], s[-1] + SHORT)
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(VALUES[data[low:high]] * POWERS[: high - low], out=sums[1:])
+        h = (sums[np.minimum(e, s + SHORT) - low] - sums[s - low]) * BACK[s - low]
         for k in np.flatnonzero(e - s > SHORT):
             h[k] = _digest(data[s[k] : e[k]].tobytes().lower())
         h = (h ^ (h >> np.uint64(29))) * SPREAD
         before = np.where(e - s > 1, LOWER[data[e - 2]].astype(np.int64), 256)
-        out[i : i + len(s)] = (h ^ (h >> np.uint64(32))) & np.uint64(2**64 - SHARED_UNITS) | _endings()[256 * before + LOWER[data[e - 1]]]
+        out[i:j] = (h ^ (h >> np.uint64(32))) & np.uint64(2**64 - SHARED_UNITS) | _endings()[256 * before + LOWER[data[e - 1]]]
+        i = j
     return out.view(np.int64)
 
 
@@ -127,6 +138,7 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(h long, c long): the count of each distinct token of all texts, ends included; summed in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_pages()
         keys, counts, pending = [], [], 0
         for batch in slices(batches, "t", BATCH_BYTES):
             h, _ = _hashes(batch.column("t"))
@@ -214,6 +226,7 @@ def triple_counts(docs: DataFrame, text_col: str, vocabulary, shards: int) -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_pages()
         v = vocabulary.value
         u = v.units_in_all
         held: list[list] = [[] for _ in range(shards)]
@@ -272,55 +285,58 @@ class Model:
         self.share = base / mass[self.of]  # of a unit in its class
         log = lambda x: np.log(np.maximum(x, 1e-30)).astype(np.float32)
         self.log_class, self.log_share = log(self.class_share), log(self.share)
-        self.summed: dict[int, np.ndarray] = {}
+        self.summed_class, self.summed = np.cumsum(self.class_share), np.cumsum(self.share)  # c to c + 1 over class c
         d = DIMENSIONS
         self.p = {
             "r": rng.normal(0, 0.3, (units, d)).astype(np.float32), "c": np.ones((2, d), np.float32),
             "qc": np.zeros((classes, d), np.float32), "bc": self.log_class[:, None].copy(), "q": np.zeros((units, d), np.float32), "b": self.log_share[:, None].copy(),
         }
 
-    def _summed_share(self, c: int) -> np.ndarray:
-        """Running sums of the shares of the units of class c."""
-        if c not in self.summed:
-            self.summed[c] = np.cumsum(self.share[self.low[c] : self.high[c]])
-        return self.summed[c]
-
     def context(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return self.p["c"][0] * self.p["r"][u] + self.p["c"][1] * self.p["r"][v]
+        return self.p["c"][0] * self.p["r"].take(u, 0) + self.p["c"][1] * self.p["r"].take(v, 0)
 
     def log_probability(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, block: int = 512) -> np.ndarray:
         """Natural-log P(w | u, v), normalised over all units but the beginning.
 
         A context's classes are normalised once, however many of the rows have it; blocks stay in the processor's cache.
         """
-        p, units = self.p, len(self.of)
+        units, outputs = len(self.of), self._outputs()
         contexts, at = np.unique(u * units + v, return_inverse=True)
-        x = self.context(contexts // units, contexts % units)
-        x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-        q = np.concatenate([p["qc"], p["bc"]], axis=1)
+        x = np.ones((len(contexts), DIMENSIONS + 1), np.float32)
+        for i in range(0, len(x), 16 * block):
+            some = contexts[i : i + 16 * block]
+            x[i : i + 16 * block, :-1] = self.context(some // units, some % units)
+        q = np.ascontiguousarray(outputs["qc"].T)
         norm = np.empty(len(x), np.float32)
+        z = np.empty((block, q.shape[1]), np.float32)
         for i in range(0, len(x), block):
-            norm[i : i + block] = _log_sum_exp(x[i : i + block] @ q.T)
-        k = self.of[w]
+            part = x[i : i + block]
+            norm[i : i + block] = _log_sum_exp(part, q, np.matmul(part, q, out=z[: len(part)]))
         out = np.empty(len(w))
-        for i in range(0, len(w), 1 << 16):
-            rows = slice(i, i + (1 << 16))
-            out[rows] = np.einsum("nd,nd->n", x[at[rows]], q[k[rows]]) - norm[at[rows]]
-        q = np.concatenate([p["q"], p["b"]], axis=1)
-        for c, rows in _groups(k, self.high - self.low > 1):
+        for c, rows in _groups(self.of[w], np.ones(len(self.low), bool)):
             low, high = self.low[c], self.high[c]
+            q = np.ascontiguousarray(outputs["q"][low:high].T)
             for i in range(0, len(rows), 2 * block):
                 part = rows[i : i + 2 * block]
-                z = x[at[part]] @ q[low:high].T
-                own = z[np.arange(len(z)), w[part] - low]
-                out[part] += own - _log_sum_exp(z)
+                xs = x.take(at[part], 0)
+                found = xs @ outputs["qc"][c] - norm[at[part]]
+                if high - low > 1:
+                    z_in = xs @ q
+                    found += z_in[np.arange(len(part)), w[part] - low]
+                    found -= _log_sum_exp(xs, q, z_in)
+                out[part] = found
         return out
 
+    def _outputs(self) -> dict[str, np.ndarray]:
+        """Copies of the output vectors, each with its bias as a last term."""
+        return {name: np.concatenate([self.p[name], self.p[bias]], axis=1) for name, bias in (("qc", "bc"), ("q", "b"))}
+
     def train(self, cells: np.ndarray, n: np.ndarray, seed: int, least: int = LEAST_STEPS, rate: float = 0.1) -> None:
         """Noise-contrastive steps, at least so many, over distinct cells and their counts n: every cell has rows, which
         share its count, and every row is in one step."""
         rng, units = np.random.default_rng(seed), len(self.of)
-        squares = {name: np.full_like(x, 1e-6) for name, x in self.p.items()}
+        p = {"r": self.p["r"], "c": self.p["c"]} | self._outputs()
+        squares = {name: np.full_like(x, 1e-6) for name, x in p.items()}
         rows = -(-n.astype(np.int64) // TOKENS_A_DRAW)
         more = least * BATCH - int(rows.sum())
         if more > 0:
@@ -330,64 +346,117 @@ class Model:
         at = rng.permutation(np.repeat(np.arange(len(cells)), rows))
         for step, part in enumerate(np.array_split(at, steps)):
             t = cells[part]
-            self._step(t // (units * units), t // units % units, t % units, share[part], rng, squares, rate * (1 - step / (steps + 1)))
-
-    def _step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, weight: np.ndarray, rng: np.random.Generator, squares: dict, rate: float) -> None:
-        p = self.p
-        ru, rv = p["r"][u], p["r"][v]
-        x = p["c"][0] * ru + p["c"][1] * rv
+            self._step(t // (units * units), t // units % units, t % units, share[part], rng, p, squares, rate * (1 - step / (steps + 1)))
+        for name, bias in (("qc", "bc"), ("q", "b")):
+            self.p[name][:], self.p[bias][:] = p[name][:, :-1], p[name][:, -1:]
+
+    def _step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, weight: np.ndarray, rng: np.random.Generator, p: dict, squares: dict, rate: float) -> None:
+        """One step on the parameters p, whose output vectors hold their biases; it takes the rows by rising target, so that
+        the rows of a target and of a class lie side by side."""
+        order = _order(w)
+        u, v, w, weight = u[order], v[order], w[order], weight[order].astype(np.float32)
+        c0, c1 = p["c"].copy()
+        ru, rv = p["r"].take(u, 0), p["r"].take(v, 0)
+        x = np.ones((len(w), DIMENSIONS + 1), np.float32)
+        np.add(c0 * ru, c1 * rv, out=x[:, :-1])
         k = self.of[w]
-        noise = np.searchsorted(np.cumsum(self.class_share), rng.random(NOISE_CLASSES)).clip(0, len(self.low) - 1)
-        own, other = _contrast(x, p["qc"], p["bc"], k, noise, self.log_class, weight)
-        gx = own[:, None] * p["qc"][k] + other @ p["qc"][noise]
-        moved = [("qc", np.concatenate([k, noise]), np.concatenate([own[:, None] * x, other.T @ x])), ("bc", np.concatenate([k, noise]), np.concatenate([own, other.sum(0)])[:, None])]
-        at, gq, gb = [], [], []
-        for c, rows in _groups(k, self.high - self.low > 1):
-            low, high = self.low[c], self.high[c]
-            drawn = low + np.searchsorted(self._summed_share(c), rng.random(NOISE_WORDS)).clip(0, high - low - 1)
-            xs, t = x[rows], w[rows]
-            own, other = _contrast(xs, p["q"], p["b"], t, drawn, self.log_share, weight[rows])
-            gx[rows] += own[:, None] * p["q"][t] + other @ p["q"][drawn]
-            at += [t, drawn]
-            gq += [own[:, None] * xs, other.T @ xs]
-            gb += [own, other.sum(0)]
-        if at:
-            at = np.concatenate(at)
-            moved += [("q", at, np.concatenate(gq)), ("b", at, np.concatenate(gb)[:, None])]
-        moved.append(("r", np.concatenate([u, v]), np.concatenate([gx * p["c"][0], gx * p["c"][1]])))
-        moved.append(("c", np.arange(2), np.stack([(gx * ru).sum(0), (gx * rv).sum(0)])))
+        noise = np.searchsorted(self.summed_class, rng.random(NOISE_CLASSES)).clip(0, len(self.low) - 1)
+        moved = []
+        gx, index, g = _contrast(x, p["qc"], k, np.array([0]), noise[None], self.log_class, weight)
+        moved.append(("qc", index, g))
+        inner = np.flatnonzero((self.high - self.low > 1)[k])
+        if len(inner):
+            first = _firsts(k[inner])
+            classes = k[inner[first]]
+            low, high = self.low[classes, None], self.high[classes, None]
+            drawn = np.searchsorted(self.summed, classes[:, None] + rng.random((len(classes), NOISE_WORDS))).clip(low, high - 1)
+            more, index, g = _contrast(x[inner], p["q"], w[inner], first, drawn, self.log_share, weight[inner])
+            gx[inner] += more
+            moved.append(("q", index, g))
+        gx = gx[:, :-1]
+        by_column = np.concatenate([gx.T * c0[:, None], gx.T * c1[:, None]], axis=1)
+        moved.append(("r", np.concatenate([u, v]), by_column.T))
+        moved.append(("c", np.arange(2), np.stack([np.einsum("nd,nd->d", gx, ru), np.einsum("nd,nd->d", gx, rv)])))
         for name, index, g in moved:
-            order = np.argsort(index, kind="stable")
-            index = index[order]
-            first = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
-            index, g = index[first], np.add.reduceat(g[order], first, axis=0)
-            squares[name][index] += g * g
-            p[name][index] -= np.float32(rate) * g / np.sqrt(squares[name][index])
+            index, g = _row_sums(index, g, len(p[name]))
+            more = squares[name].take(index, 0) + g * g
+            squares[name][index] = more
+            p[name][index] -= np.float32(rate) * g / np.sqrt(more)
 
 
-def _contrast(x: np.ndarray, q: np.ndarray, b: np.ndarray, target: np.ndarray, noise: np.ndarray, log_share: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradients of the noise-contrastive loss in the logits of the targets and of the noise that all rows share."""
-    more = np.float32(math.log(len(noise)))
-    own = np.einsum("nd,nd->n", x, q[target]) + b[target, 0] - log_share[target] - more
-    other = x @ q[noise].T + b[noise, 0] - log_share[noise] - more
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return ((sigmoid(own) - 1) * weight).astype(np.float32), (sigmoid(other) * weight[:, None]).astype(np.float32)
+def _order(index: np.ndarray) -> np.ndarray:
+    """The stable order of up to 2**20 numbers; sorting them with their places as low bits is faster than argsort."""
+    key = index.astype(np.int64) << 20 | np.arange(len(index))
+    key.sort()
+    return key & ((1 << 20) - 1)
 
 
-def _log_sum_exp(z: np.ndarray) -> np.ndarray:
-    """log of the sum of exp of each row; what is not finite without scaling is scaled by the row's largest value."""
+def _row_sums(index: np.ndarray, g: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in index, all below most, and the sum of the rows of g of each."""
+    there = np.zeros(most, bool)
+    there[index] = True
+    names = np.flatnonzero(there)
+    place = np.empty(most, np.int64)
+    place[names] = np.arange(len(names))
+    place = place[index]
+    out = np.empty((len(names), g.shape[1]), np.float32)
+    for j in range(g.shape[1]):
+        out[:, j] = np.bincount(place, weights=g[:, j], minlength=len(names))
+    return names, out
+
+
+def _firsts(rising: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, rising[1:] != rising[:-1]))
+
+
+def _contrast(x: np.ndarray, q: np.ndarray, target: np.ndarray, first: np.ndarray, noise: np.ndarray, log_share: np.ndarray, weight: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of the noise-contrastive loss: in x, and in the rows of q that are named (a row may be more than once).
+
+    Targets rise. Row i of noise is shared by the rows of x from first[i] on; what is computed of all noise for all rows
+    goes by blocks, which stay in the processor's cache.
+    """
+    shift = log_share + np.float32(math.log(noise.shape[1]))
+    drawn = q.take(noise, 0)
+    back = -drawn
+    back[:, :, -1] += shift[noise]
+    gx, gn = np.empty_like(x), np.zeros_like(drawn)
+    z = np.empty((min(block, len(x)), noise.shape[1]), np.float32)
+    with np.errstate(over="ignore"):
+        for i, (low, high) in enumerate(zip(first, [*first[1:], len(x)], strict=True)):
+            for a in range(low, high, block):
+                b = min(a + block, high)
+                xs, part = x[a:b], z[: b - a]
+                np.matmul(xs, back[i].T, out=part)
+                np.exp(part, out=part)
+                part += 1
+                np.divide(weight[a:b, None], part, out=part)  # weight times sigmoid
+                np.matmul(part, drawn[i], out=gx[a:b])
+                gn[i] += part.T @ xs
+        qt = q.take(target, 0)
+        own = weight / (1 + np.exp(shift[target] - np.einsum("nd,nd->n", x, qt))) - weight
+    own = own.astype(np.float32)[:, None]
+    qt *= own
+    gx += qt
+    return gx, np.concatenate([target, noise.ravel()]), np.concatenate([own * x, gn.reshape(-1, x.shape[1])])
+
+
+def _log_sum_exp(x: np.ndarray, q: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """log of the sum of exp of each row of z, which is x @ q and is overwritten; what is not finite without scaling is
+    computed again, scaled by the row's largest value."""
     with np.errstate(over="ignore", divide="ignore"):
-        out = np.log(np.exp(z) @ np.ones(z.shape[1], np.float32))
+        np.exp(z, out=z)
+        out = np.log(z @ np.ones(z.shape[1], np.float32))
     odd = ~np.isfinite(out)
     if odd.any():
-        top = z[odd].max(1)
-        out[odd] = np.log(np.exp(z[odd] - top[:, None]).sum(1)) + top
+        z = x[odd] @ q
+        top = z.max(1)
+        out[odd] = np.log(np.exp(z - top[:, None]).sum(1)) + top
     return out
 
 
 def _groups(k: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each wanted class in k and the rows that have it."""
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k.astype(np.uint16) if len(wanted) < 1 << 16 else k, kind="stable")
     ends = np.searchsorted(k[order], np.arange(len(wanted) + 1))
     for c in np.flatnonzero(wanted & (np.diff(ends) > 0)):
         yield c, order[ends[c] : ends[c + 1]]
@@ -409,6 +478,7 @@ def fit(spark: SparkSession, pieces: DataFrame, model: Model, shards: int) -> Mo
         start = spark.sparkContext.broadcast(model)
 
         def run(table: pa.Table) -> pa.Table:
+            hold_pages()
             shard = table.column("shard")[0].as_py()
             # pieces arrive in any order; their sums do not depend on it
             parts = [(np.cumsum(np.frombuffer(c.as_buffer(), np.int64)), np.frombuffer(m.as_buffer(), np.int32)) for c, m in zip(table.column("cells"), table.column("n"), strict=True)]
@@ -477,6 +547,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     end_log = math.log10(ends + 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_pages()
         v, (lm_model, unit_norm) = vocabulary.value, model.value
         frequent_log = np.log10(v.c + 0.5)
         row = TaskContext.get().partitionId() << 36

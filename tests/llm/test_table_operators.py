@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -439,6 +440,85 @@ def test_training_takes_every_token_once(monkeypatch):
     assert (merged == np.sort(cells[:1000])).all() and sums.sum() == 1500 and sums.max() == 2
 
 
+def plain_train(model, cells, n, seed, least, rate=0.1):
+    """Model.train() with a step's arrays whole, in the order of its rows, classes one after the other."""
+    p, units, rng = model.p, len(model.of), np.random.default_rng(seed)
+    squares = {name: np.full_like(x, 1e-6) for name, x in p.items()}
+    at = rng.permutation(len(cells))
+    steps = max(least, len(cells) // lm.BATCH)
+
+    def contrast(x, q, b, target, noise, share, weight):
+        more = np.float32(math.log(len(noise)))
+        own = np.einsum("nd,nd->n", x, q[target]) + b[target, 0] - share[target] - more
+        other = x @ q[noise].T + b[noise, 0] - share[noise] - more
+        sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return ((sigmoid(own) - 1) * weight).astype(np.float32), (sigmoid(other) * weight[:, None]).astype(np.float32)
+
+    for step, part in enumerate(np.array_split(at, steps)):
+        u, v, w = cells[part] // (units * units), cells[part] // units % units, cells[part] % units
+        weight = n[part].astype(np.float32)
+        ru, rv = p["r"][u], p["r"][v]
+        x, k = p["c"][0] * ru + p["c"][1] * rv, model.of[w]
+        noise = np.searchsorted(np.cumsum(model.class_share), rng.random(lm.NOISE_CLASSES)).clip(0, len(model.low) - 1)
+        own, other = contrast(x, p["qc"], p["bc"], k, noise, model.log_class, weight)
+        gx = own[:, None] * p["qc"][k] + other @ p["qc"][noise]
+        moved = [("qc", np.concatenate([k, noise]), np.concatenate([own[:, None] * x, other.T @ x])), ("bc", np.concatenate([k, noise]), np.concatenate([own, other.sum(0)])[:, None])]
+        by = np.argsort(k, kind="stable")
+        ends = np.searchsorted(k[by], np.arange(len(model.low) + 1))
+        for c in np.flatnonzero((model.high - model.low > 1) & (np.diff(ends) > 0)):
+            rows, low, high = by[ends[c] : ends[c + 1]], model.low[c], model.high[c]
+            drawn = low + np.searchsorted(np.cumsum(model.share[low:high]), rng.random(lm.NOISE_WORDS)).clip(0, high - low - 1)
+            own, other = contrast(x[rows], p["q"], p["b"], w[rows], drawn, model.log_share, weight[rows])
+            gx[rows] += own[:, None] * p["q"][w[rows]] + other @ p["q"][drawn]
+            moved += [("q", np.concatenate([w[rows], drawn]), np.concatenate([own[:, None] * x[rows], other.T @ x[rows]])), ("b", np.concatenate([w[rows], drawn]), np.concatenate([own, other.sum(0)])[:, None])]
+        moved += [("r", np.concatenate([u, v]), np.concatenate([gx * p["c"][0], gx * p["c"][1]])), ("c", np.arange(2), np.stack([(gx * ru).sum(0), (gx * rv).sum(0)]))]
+        for name, index, g in moved:
+            order = np.argsort(index, kind="stable")
+            index = index[order]
+            first = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
+            index, g = index[first], np.add.reduceat(g[order], first, axis=0)
+            squares[name][index] += g * g
+            p[name][index] -= np.float32(rate * (1 - step / (steps + 1))) * g / np.sqrt(squares[name][index])
+
+
+def test_training_gives_the_parameters_of_plain_steps_in_less_time():
+    rng, units = np.random.default_rng(8), lm.FIRST_WORD + 6000
+    counts = np.concatenate([rng.integers(1, 900, lm.FIRST_WORD), np.sort(rng.zipf(1.3, 6000).clip(1, 50_000))[::-1]]).astype(np.float64)
+    w = rng.choice(units, (3, 140_000), p=counts / counts.sum())
+    w[2, w[2] == lm.BEGIN_UNIT] = 0
+    cells, n = np.unique((w[0] * units + w[1]) * units + w[2], return_counts=True)
+    n = n.clip(1, lm.TOKENS_A_DRAW)  # a row for each cell
+    least, models, seconds = len(cells) // lm.BATCH, {}, {}
+    for name, train in (("now", lm.Model.train), ("plain", plain_train)) * 4:
+        models[name] = lm.Model(counts)
+        start = time.thread_time()
+        train(models[name], cells, n, 5, least)
+        seconds[name] = min(seconds.get(name, math.inf), time.thread_time() - start)
+    now, plain = models["now"], models["plain"]
+    for name in plain.p:  # sums are taken in other orders
+        assert np.abs(plain.p[name] - now.p[name]).max() < 0.005 and np.abs(plain.p[name] - now.p[name]).mean() < 1e-5, name
+    u, v, w = cells // units**2, cells // units % units, cells % units
+    assert np.allclose(now.log_probability(u, v, w), plain.log_probability(u, v, w), atol=0.002)
+    assert seconds["now"] < 0.7 * seconds["plain"]
+
+
+def test_word_hashes_are_sums_of_bytes_by_place():
+    rng = random.Random(6)
+    words = [bytes(rng.choice(b"abcXYZ-\xc3\xa9") for _ in range(rng.choice((1, 2, 7, 30, lm.SHORT - 1, lm.SHORT, lm.SHORT + 1)))) for _ in range(3000)]
+    words[1000] = b"q" * (3 * lm.BYTES_AT_ONCE)
+    data = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    found = lm._word_hashes(np.frombuffer(data, np.uint8), ends - [len(w) for w in words], ends).view(np.uint64)
+    mask, power = (1 << 64) - 1, lm._digest(b"power") | 1
+    for word, h in zip((w.lower() for w in words), found.tolist(), strict=True):
+        if len(word) > lm.SHORT:
+            wanted = lm._digest(word)
+        else:
+            wanted = sum(lm._digest(bytes([b])) * pow(power, i, 1 << 64) for i, b in enumerate(word)) & mask
+        wanted = (wanted ^ wanted >> 29) * int(lm.SPREAD) & mask
+        assert h >> 8 == (wanted ^ wanted >> 32) >> 8 and h & 255 == lm._digest(word[-2:]) & 255
+
+
 def test_pipeline(spark):
     pytest.importorskip("corpus_pipeline")
     import os
